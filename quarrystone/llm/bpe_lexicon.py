@@ -68,35 +68,54 @@ class Bpe:
 
     def pieces(self, part: str) -> list[str]:
         """Normalised pieces of a text without white space and special strings."""
+        if part.isascii():
+            low = part.lower()
+            if low.isalpha():
+                return [low]
+            return [low[:-1], low[-1]] if low[:-1].isalpha() else PIECES.findall(low)
         part = unicodedata.normalize("NFC", part)
-        low = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
+        low = part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part)
         return PIECES.findall(low)
 
     def merge(self, piece: bytes) -> list[int]:
         word = [self.symbols[b] for b in piece]
         word[-1] += self.suffix
-        rank, worst = self.rank, len(self.rank)
-        while len(word) > 1:
-            ranks = [rank.get(p, worst) for p in zip(word, word[1:], strict=False)]
-            best = min(ranks)
-            if best == worst:
-                break
-            if len(word) > 64:  # long words: all places of the best pair in one pass
-                a, b = next(p for p, r in zip(zip(word, word[1:], strict=False), ranks, strict=False) if r == best)
-                out, k = [], 0
-                while k < len(word):
-                    if k + 1 < len(word) and word[k] == a and word[k + 1] == b:
-                        out.append(a + b)
-                        k += 2
-                    else:
-                        out.append(word[k])
-                        k += 1
-                word = out
-            else:
+        get, none = self.rank.get, len(self.rank)
+        if len(word) > 64:
+            word = self._merge_long(word)
+        else:
+            ranks = [get(p, none) for p in zip(word, word[1:], strict=False)]
+            while ranks:
+                best = min(ranks)
+                if best == none:
+                    break
                 k = ranks.index(best)
-                word[k : k + 2] = [word[k] + word[k + 1]]
+                word[k] += word[k + 1]
+                del word[k + 1], ranks[k]
+                if k:
+                    ranks[k - 1] = get((word[k - 1], word[k]), none)
+                if k < len(ranks):
+                    ranks[k] = get((word[k], word[k + 1]), none)
         return [self.vocab[w] for w in word]
 
+    def _merge_long(self, word: list[str]) -> list[str]:
+        """All places of the best pair in one pass: no pair that a merge makes has a lower rank than it."""
+        get, none = self.rank.get, len(self.rank)
+        while len(word) > 1:
+            best = min(zip(word, word[1:], strict=False), key=lambda p: get(p, none))
+            if best not in self.rank:
+                break
+            (a, b), out, k = best, [], 0
+            while k < len(word):
+                if k + 1 < len(word) and word[k] == a and word[k + 1] == b:
+                    out.append(a + b)
+                    k += 2
+                else:
+                    out.append(word[k])
+                    k += 1
+            word = out
+        return word
+
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """The automaton file of words and their ids (built from sorted words, minimised on the way)."""
@@ -193,7 +212,7 @@ class Lexicon:
 class Encoder:
     """Texts to ids by lexicon and merging; parts of texts seen lately are kept in two bounded generations."""
 
-    KEEP = 300_000
+    KEEP = 400_000
 
     def __init__(self, tokenizer: str, lexicon: str | None):
         self.bpe, self.lexicon = Bpe(tokenizer), Lexicon(lexicon) if lexicon else None
@@ -225,15 +244,26 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         parts = text.split() if ODD.search(text) is None else regex.split(f"[{WHITE}]+", text)
         new = self.new
-        for p in parts:
-            if p not in new:
-                new[p] = self.old.get(p) or self._part(p)
+        for p in set(parts).difference(new):
+            new[p] = self.old.get(p) or self._part(p)
         out = b"".join(map(new.__getitem__, parts))
         if len(new) > self.KEEP:
             self.old, self.new = new, {}
         return out
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(tokenizer: str, lexicon: str | None) -> Encoder:
+    """One encoder a worker process, for the lexicon in use: its caches outlive a task."""
+    key = (tokenizer, lexicon)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(tokenizer, lexicon)
+    return _encoders[key]
+
+
 class Decoder:
     def __init__(self, tokens: list[str]):
         self.tokens = [t.encode() for t in tokens]
@@ -293,7 +323,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFrame:
     """doc_id, ids (array of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer, lexicon)
+        enc = encoder(tokenizer, lexicon)
         for b in in_slices(batches):
             ids = [enc.encode(t) for t in b.column(1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
@@ -319,7 +349,7 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFram
     """Encode and decode in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer, lexicon)
+        enc = encoder(tokenizer, lexicon)
         dec = Decoder(enc.bpe.tokens)
         for b in in_slices(batches):
             ids = [enc.encode(t) for t in b.column(1).to_pylist()]

@@ -57,9 +57,8 @@ class Shingler:
         known = self.known
         if len(known) > self.keep:
             known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w)
         code = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = max(1, len(words) - self.width + 1)
         h = code[:n].copy()
