@@ -16,9 +16,13 @@ stay repeated. An empty table gives an empty manifest. Other columns are ignored
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -135,11 +139,13 @@ class LibraryEncoder:
 
     The normalizer and the pre-tokenizer of these tokenizers treat white space as a boundary that no
     token crosses, so a text's ids are those of its white-space-free pieces in order. Each distinct
-    piece goes to the library once while it stays in a bounded two-generation cache. A text with one
+    piece goes to the library once while it stays in a bounded two-generation cache, many pieces to a
+    call with a digit between them that none of them has, whose id then parts their ids. A text with one
     of the separators that Python, but not the library, takes for white space goes to it whole."""
 
-    KEEP = 400_000
-    ODD = "\x1c\x1d\x1e\x1f"
+    KEEP = 600_000
+    ODD = re.compile("[\x1c-\x1f]")
+    MARK = "7"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -148,29 +154,78 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        mark = self._ids([self.MARK])[0]
+        self.mark = int(mark[0]) if len(mark) == 1 else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Put the ids of pieces into the cache. What is one normalised pre-token already, small ASCII letters,
+        goes straight to the library's model."""
+        tokenize, rest = self.tok.model.tokenize, []
+        for p in pieces:
+            if p.isascii() and p.isalpha() and p.islower():
+                self.new[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
+            else:
+                rest.append(p)
+        joint = [p for p in rest if self.MARK not in p] if self.mark is not None else []
+        alone = [p for p in rest if self.MARK in p] if joint else rest
+        for p, ids in zip(alone, self._ids(alone), strict=True):
+            self.new[p] = ids.tobytes()
+        for k in range(0, len(joint), 4096):
+            part = joint[k : k + 4096]
+            ids = self._ids([f" {self.MARK} ".join(part)])[0]
+            raw, at = ids.tobytes(), 0
+            ends = np.flatnonzero(ids == self.mark) * 4
+            if len(ends) != len(part) - 1:
+                raise ValueError("a piece has the id of the mark")
+            for p, z in zip(part, [*ends.tolist(), len(raw)], strict=True):
+                self.new[p] = raw[at:z]
+                at = z + 4
+
+    def _resolve(self, missing: set[str]) -> None:
+        """Put missing pieces into the cache. Letters with one mark after them are the letters' ids and the
+        mark's: the pattern never joins the two. ASCII letters count in lower case, as the normalizer makes them."""
+        new, old = self.new, self.old
+        found = missing.intersection(old)
+        for w in found:
+            new[w] = old[w]
+        missing -= found
+        cores, ends = [], []
+        for w in missing:
+            head = w[:-1] if w[-1] in ".,;:!?" and len(w) > 1 else w
+            head = head.lower() if head.isascii() else head
+            cores.append(head if head.isalpha() else w)
+            ends.append(w[-1] if cores[-1] is head and len(head) < len(w) else "")
+        self._learn(list({*cores, *filter(None, ends)}.difference(new)))
+        for w, c, e in zip(missing, cores, ends, strict=True):
+            new[w] = new[c] + new[e] if e else new[c]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        split = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        split = [t.split() if self.ODD.search(t) is None else None for t in texts]
         if len(self.new) > self.KEEP:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = {w for words in split if words for w in words if w not in new}
-        for w in [w for w in missing if w in old]:
-            new[w] = old[w]
-            missing.discard(w)
-        todo = list(missing)
-        for k in range(0, len(todo), 20_000):
-            part = todo[k : k + 20_000]
-            new.update(zip(part, self._library(part), strict=True))
-        get = new.__getitem__
-        return [self._library([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        missing: set[str] = set()
+        for words in filter(None, split):
+            missing.update(compress(words, map(not_, map(self.new.get, words))))
+        if missing:
+            self._resolve(missing)
+        get = self.new.__getitem__
+        return [self._ids([t])[0].tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+
+
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def library_encoder(path: str) -> LibraryEncoder:
+    """One encoder a worker process: its cache outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
 
 
 def vocab_size(path: str) -> int:
@@ -196,7 +251,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
                 fs, folder = file_system(path)
                 fs.create_dir(folder, recursive=True)
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bits"
-                enc, writer = LibraryEncoder(tokenizer), ShardWriter(fs.open_output_stream(f"{folder}/{name}"), bits, block_ids)
+                enc, writer = library_encoder(tokenizer), ShardWriter(fs.open_output_stream(f"{folder}/{name}"), bits, block_ids)
             for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
         if writer is not None:
