@@ -199,7 +199,8 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in in_slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingler(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "grams"])
 
-    return id_text(docs).join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "id long, grams binary")
+    # joined alike at every size: the list of ids grows with the corpus and is never broadcast
+    return id_text(docs).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(run, "id long, grams binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
