@@ -4,7 +4,7 @@ Documents are counted by exact length (words) within a source. Every document of
 floor(target / size of the source) times; what then remains of the target is met by taking some
 documents once more. How many of each length: first the same share of every length, rounded down,
 then a bounded-knapsack dynamic programme over the counts left fits the rest of the budget as
-closely as the lengths allow. Which documents of a length: those of the smallest seeded hash of
+closely as the documents left allow. Which documents of a length: those of the smallest seeded hash of
 doc_id, found through counts of hash buckets so that no group is ever ordered as a whole.
 
 Null texts have size 0; size 0 is never short of or over anything and takes 0. A null source is a
