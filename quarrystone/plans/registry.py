@@ -217,8 +217,12 @@ FROM events WHERE value IS NOT NULL GROUP BY event_type""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()["lexical" if name == "lexical_tokens" else name] for name in _SQL}
+    from quarrystone.plans import extended
+
+    return {name: globals()["lexical" if name == "lexical_tokens" else name] for name in _SQL} | extended.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from quarrystone.plans import extended
+
+    return _SQL | extended.oracle_sql()
