@@ -6,17 +6,19 @@
 2. Each tree is one global order of the classes by the tree's DEPTH values, held range-partitioned.
    Runs that share a prefix of FLOOR values are regions; a region of more than REGION classes is split by
    one more value, again and again (adaptive depth). Classes of a region that is small enough are
-   candidates of each other. A region that is still large at full depth gives each class its neighbour in
-   the order and, instead of its pairs, the region's hubs: the members that fall into the most and largest
-   such regions of all trees. A document with many near copies is such a hub, and everything that links
-   with it is then compared with it, at a number of rows that follows the number of documents.
-3. Candidates are confirmed on the full sets: 100 * intersection >= percent * union.
+   candidates of each other. A region that is still large at full depth is saturated: at first it gives each
+   class its neighbour in the order and the region's hub, the member that falls into the most and largest
+   such regions of all trees.
+3. Candidates are screened by size and by the share of equal MinHash values (seven standard deviations below
+   the threshold still pass), then confirmed on the full sets: 100 * intersection >= percent * union.
 4. Components of the confirmed links come from alternating large-star and small-star steps.
+5. What a saturated region still may hide are links between members of different components. The members
+   outside the region's largest component are compared with all members, in blocks of bounded size; pairs that
+   pass the screen are confirmed as before and join the components. Pairs inside a component can change nothing.
 
 A pair of similarity 0.85 shares FLOOR values in at least one of the trees but for 4 in 10 million pairs; a
-region that a range boundary cuts is missed in that tree alone. Where the regions of a pair are split to full
-depth in every tree, 0.17 % of such pairs share none. In regions that stay large at full depth, links of two members
-that share no smaller region, hub or neighbour are missed: the operator is not lossless there.
+region that a range boundary cuts is missed in that tree alone, unless it is saturated. Where the regions of a pair
+are split to full depth in every tree, 0.17 % of such pairs share none.
 
 Texts without words have the empty set and are linked with nothing; null texts count as such. Texts of
 fewer words than a shingle have one shingle. A null doc_id is linked with nothing, has a null
@@ -26,6 +28,7 @@ component_id and is kept. Rows that share a doc_id are one document. Other colum
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ from quarrystone.llm.common import id_text, in_slices, stored
 SHINGLE = 5
 TREES, DEPTH, FLOOR = 20, 8, 4
 REGION = 24
+#: Members of a saturated region that are compared at once.
+BLOCK = 512
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _A = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -145,9 +150,9 @@ def forest_regions(shared: np.ndarray, region: int = REGION) -> Iterator[tuple[i
         todo.extend((int(p), int(q), depth + 1) for p, q in zip(edges[:-1], edges[1:], strict=True) if q - p > 1) if depth + 1 <= DEPTH else None
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of class representatives that the forest proposes."""
-    orders = stored(_orders(reps), "forest-rows").repartitionByRange("tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
+def candidates(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of class representatives that the forest proposes, and the members of saturated regions."""
+    orders = _orders(reps).repartitionByRange("tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last run of a batch may go on: it is carried over to the next
@@ -167,7 +172,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     def propose(table: pa.Table) -> Iterator[pa.RecordBatch]:
         tree, hi, lo, ids = (table.column(k).to_numpy() for k in range(4))
         left, right, near, far, size, where = [], [], [], [], [], []
-        for a, z, saturated in forest_regions(common_prefix(tree, hi, lo)):
+        for a, z, saturated in forest_regions(common_prefix(tree, hi, lo), region):
             if saturated:
                 near.append(ids[a : z - 1]), far.append(ids[a + 1 : z])
                 where.append((tree[a:z], hi[a:z], lo[a:z], ids[a:z]))
@@ -186,11 +191,62 @@ def candidates(reps: DataFrame) -> DataFrame:
     found = stored(orders.mapInArrow(run, "a long, b long, tree int, hi long, lo long"), "forest")
     pairs = found.where("b IS NOT NULL").select("a", "b")
     large = found.where("b IS NULL").select(F.col("a").alias("id"), "tree", "hi", "lo")
-    region = large.groupBy("tree", "hi", "lo").agg(F.count("*").alias("n"))
-    weight = large.join(region, ["tree", "hi", "lo"]).groupBy("id").agg(F.sum("n").alias("w"))
+    sizes = large.groupBy("tree", "hi", "lo").agg(F.count("*").alias("n"))
+    weight = large.join(sizes, ["tree", "hi", "lo"]).groupBy("id").agg(F.sum("n").alias("w"))
     hubs = large.join(weight, "id").groupBy("tree", "hi", "lo").agg(F.max(F.struct("w", "id")).getField("id").alias("hub"))
     to_hub = large.join(hubs, ["tree", "hi", "lo"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    return pairs.unionByName(to_hub).distinct()
+    return pairs.unionByName(to_hub).distinct(), large
+
+
+def least_equal(percent: int) -> int:
+    """Equal MinHash values that a pair of that similarity has, less seven standard deviations."""
+    n, p = TREES * DEPTH, percent / 100
+    return int(n * p - 7 * math.sqrt(n * p * (1 - p)))
+
+
+def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The MinHash values of each row; their order inside a row is the same in all rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
+
+
+def screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose set sizes and MinHash values allow the similarity: a, b."""
+    least = least_equal(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, 4096):
+            keep = pa.array((_values(b.column(2)) == _values(b.column(3))).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    one = pairs.join(reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("trees").alias("x")), "a")
+    two = one.join(reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("trees").alias("y")), "b")
+    return two.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def across(large: DataFrame, found: DataFrame, reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs a < b of saturated regions between different components that pass the screen."""
+    key, least = ["tree", "hi", "lo"], least_equal(percent)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (i, c, n), (j, d, m) = ([t.column(k).to_numpy() for k in ("id", "component", "n_shingles")] for t in (left, right))
+        x, y = _values(left.column("trees")), _values(right.column("trees"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(len(i)):
+            at = np.flatnonzero((d != c[k]) & (100 * np.minimum(m, n[k]) >= percent * np.maximum(m, n[k])))
+            at = at[(y[at] == x[k]).sum(axis=1) >= least]
+            a.append(np.minimum(j[at], i[k])), b.append(np.maximum(j[at], i[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    member = large.join(found, "id", "left").select("id", *key, F.coalesce("component", "id").alias("component"))
+    part = member.groupBy(*key, "component").agg(F.count("*").alias("n"))
+    split = part.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
+    split = split.select(*key, F.col("top.component").alias("main"), F.ceil(F.col("total") / block).alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / block).alias("parts"))
+    member = stored(member.join(split, key).join(reps, "id"), "members")
+    held = [*key, "id", "component", "n_shingles", "trees", "p", "q"]
+    own, every = F.xxhash64("id"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    rest = member.where("component <> main").withColumn("p", F.pmod(own, "parts").cast("int")).withColumn("q", every(F.col("blocks"))).select(held)
+    whole = member.withColumn("q", F.pmod(own, "blocks").cast("int")).withColumn("p", every(F.col("parts"))).select(held)
+    return rest.groupBy(*key, "p", "q").cogroup(whole.groupBy(*key, "p", "q")).applyInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -245,21 +301,35 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The links among pairs, on the full sets."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    return confirm(pairs, stored(_sets(docs, ids), "sets"), percent)
+
+
+def near_groups(docs: DataFrame, percent: int = 85, region: int = REGION, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     sig = stored(signatures(docs), "signatures")
     known = sig.where("class IS NOT NULL AND doc_id IS NOT NULL")
     classes = stored(known.groupBy("class").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "classes")
-    reps = known.join(classes.select("id", F.col("class").alias("c")), (F.col("doc_id") == F.col("id")) & (F.col("class") == F.col("c"))).select("id", "trees")
-    pairs = stored(candidates(reps), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(_sets(docs, ids), "sets")
-    links = confirm(pairs, sets, percent)
+    reps = known.join(classes.select("id", F.col("class").alias("c")), (F.col("doc_id") == F.col("id")) & (F.col("class") == F.col("c"))).select("id", "n_shingles", "trees")
+    reps = stored(reps, "representatives")
+    pairs, large = candidates(reps, region)
+    links = _confirmed(docs, stored(screened(pairs, reps, percent), "pairs"), percent)
     # rows that share a doc_id but not a set are one document: its classes are linked through their representatives
     shared = known.groupBy("doc_id").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("n > 1 AND c1 <> c2").select("doc_id")
     own = known.select("doc_id", "class").join(shared, "doc_id", "left_semi").join(classes.select("class", "id"), "class")
     links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     found = components(links)
+    more = stored(across(large, found, reps, percent, block), "across")
+    if not more.isEmpty():
+        links = _confirmed(docs, more, percent)
+        for end in ("a", "b"):
+            links = links.join(found.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        joined = components(links).select(F.col("id").alias("component"), F.col("component").alias("root"))
+        # an id that had no link so far is a component of its own
+        every = found.unionByName(joined.select(F.col("component").alias("id"), "component"))
+        found = every.distinct().join(joined, "component", "left").groupBy("id").agg(F.min(F.coalesce("root", "component")).alias("component"))
     groups = classes.select("class", "id").join(found, "id", "left").select("class", F.coalesce("component", "id").alias("component"))
     return (
         sig.select("doc_id", "n_shingles", "class")

@@ -145,6 +145,34 @@ def test_near_dedup(docs, empty):
     assert lsh_forest.near_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize(("percent", "region", "block"), [(85, 2, 7), (80, 2, 512), (85, 24, 512)])
+def test_near_dedup_of_a_group_of_near_copies(spark, percent, region, block):
+    """Small regions make every region saturated; chains, islands and stragglers are found as brute force finds them."""
+    r, words, texts = random.Random(11), prose(3, 240).split(), []
+    for island in range(3):
+        now = list(words)
+        for k in r.sample(range(240), 3 * island):
+            now[k] = f"island{island}"
+        for _ in range(30):
+            if r.random() < 0.5:
+                now[r.randrange(240)] = f"step{r.randrange(10**6)}"
+            own = list(now)
+            for k in r.sample(range(240), r.randrange(6)):
+                own[k] = f"own{r.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(x & y) >= percent * len(x | y)]
+    for _ in texts:
+        for i, j in links:
+            low, high = sorted((least[i], least[j]))
+            least = [low if c == high else c for c in least] if low < high else least
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(lsh_forest.near_groups(docs, percent, region, block))
+    assert [got[i].component_id for i in range(len(texts))] == least
+    assert len(set(least)) > 1
+
+
 def test_mix(docs, empty, texts):
     got = budget_mix.mix(docs).collect()
     source = {i: f"s{i % 3}" if i % 7 else None for i in texts}
