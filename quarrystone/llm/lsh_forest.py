@@ -9,15 +9,15 @@
    candidates of each other. A region that is still large at full depth is saturated: at first it gives each
    class its neighbour in the order and the region's hub, the member that falls into the most and largest
    such regions of all trees.
-3. Candidates are screened by size and by the share of equal MinHash values (seven standard deviations below
+3. Candidates are screened by size and by the share of equal MinHash values (five standard deviations below
    the threshold still pass), then confirmed on the full sets: 100 * intersection >= percent * union.
 4. Components of the confirmed links come from alternating large-star and small-star steps.
 5. What a saturated region still may hide are links between members of different components. The members
-   outside the region's largest component are compared with all members, in blocks of bounded size; pairs that
-   pass the screen are confirmed as before and join the components. Pairs inside a component can change nothing.
+   outside the region's largest component are compared with all members, screen first and then full sets, in
+   blocks of bounded size, and what links joins the components. Pairs inside a component can change nothing.
 
 A pair of similarity 0.85 shares FLOOR values in at least one of the trees but for 4 in 10 million pairs; a
-region that a range boundary cuts is missed in that tree alone, unless it is saturated. Where the regions of a pair
+region that a range boundary cuts is missed in that tree alone; classes that agree in all values are not. Where the regions of a pair
 are split to full depth in every tree, 0.17 % of such pairs share none.
 
 Texts without words have the empty set and are linked with nothing; null texts count as such. Texts of
@@ -44,6 +44,8 @@ TREES, DEPTH, FLOOR = 20, 8, 4
 REGION = 24
 #: Members of a saturated region that are compared at once.
 BLOCK = 512
+#: Shingles of all members that are compared at once, on average.
+BLOCK_SHINGLES = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _A = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
@@ -157,6 +159,7 @@ def candidates(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last run of a batch may go on: it is carried over to the next
         held: list[pa.RecordBatch] = []
+        first = True
         for b in batches:
             held.append(b)
             table = pa.Table.from_batches(held)
@@ -164,15 +167,24 @@ def candidates(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
             same = (tree == tree[-1]) & (hi == hi[-1])
             cut = len(tree) - int(same[::-1].argmin()) if not same.all() else 0
             if cut:
-                yield from propose(table.slice(0, cut))
+                yield from propose(table.slice(0, cut), first, False)
+                first = False
                 held = [table.slice(cut).combine_chunks().to_batches()[0]]
         if held:
-            yield from propose(pa.Table.from_batches(held))
+            yield from propose(pa.Table.from_batches(held), first, True)
 
-    def propose(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def propose(table: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
         tree, hi, lo, ids = (table.column(k).to_numpy() for k in range(4))
         left, right, near, far, size, where = [], [], [], [], [], []
-        for a, z, saturated in forest_regions(common_prefix(tree, hi, lo), region):
+        shared = common_prefix(tree, hi, lo)
+        # a run of equal values at either end may go on in another partition: it counts as saturated
+        cuts = np.flatnonzero(shared < DEPTH)
+        head, tail = (int(cuts[0]) + 1, int(cuts[-1]) + 1) if len(cuts) else (len(ids), 0)
+        ends = {(0, head)} if first else set()
+        if last:
+            ends.add((tail, len(ids)))
+        where.extend((tree[a:z], hi[a:z], lo[a:z], ids[a:z]) for a, z in ends if z - a <= region)
+        for a, z, saturated in forest_regions(shared, region):
             if saturated:
                 near.append(ids[a : z - 1]), far.append(ids[a + 1 : z])
                 where.append((tree[a:z], hi[a:z], lo[a:z], ids[a:z]))
@@ -199,9 +211,9 @@ def candidates(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
 
 
 def least_equal(percent: int) -> int:
-    """Equal MinHash values that a pair of that similarity has, less seven standard deviations."""
+    """Equal MinHash values that a pair of that similarity has, less five standard deviations."""
     n, p = TREES * DEPTH, percent / 100
-    return int(n * p - 7 * math.sqrt(n * p * (1 - p)))
+    return int(n * p - 5 * math.sqrt(n * p * (1 - p)))
 
 
 def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -223,30 +235,50 @@ def screened(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(large: DataFrame, found: DataFrame, reps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs a < b of saturated regions between different components that pass the screen."""
+def _both(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets, neither empty."""
+    if len(y) < len(x):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def across(large: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links a, b of saturated regions that join different components."""
     key, least = ["tree", "hi", "lo"], least_equal(percent)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (i, c, n), (j, d, m) = ([t.column(k).to_numpy() for k in ("id", "component", "n_shingles")] for t in (left, right))
+        (i, c), (j, d) = ([t.column(k).to_numpy().copy() for k in ("id", "component")] for t in (left, right))
         x, y = _values(left.column("trees")), _values(right.column("trees"))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(i)):
-            at = np.flatnonzero((d != c[k]) & (100 * np.minimum(m, n[k]) >= percent * np.maximum(m, n[k])))
-            at = at[(y[at] == x[k]).sum(axis=1) >= least]
-            a.append(np.minimum(j[at], i[k])), b.append(np.maximum(j[at], i[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    member = large.join(found, "id", "left").select("id", *key, F.coalesce("component", "id").alias("component"))
-    part = member.groupBy(*key, "component").agg(F.count("*").alias("n"))
-    split = part.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).where("top.n < total")
-    split = split.select(*key, F.col("top.component").alias("main"), F.ceil(F.col("total") / block).alias("blocks"), F.ceil((F.col("total") - F.col("top.n")) / block).alias("parts"))
-    member = stored(member.join(split, key).join(reps, "id"), "members")
-    held = [*key, "id", "component", "n_shingles", "trees", "p", "q"]
+        u, v = ([np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()] for t in (left, right))
+        tree, m = left.column("tree")[0].as_py() if len(i) else 0, np.array([len(g) for g in v])
+        links = []
+        for k, own in enumerate(u):
+            at = np.flatnonzero((d != c[k]) & (100 * np.minimum(m, len(own)) >= percent * np.maximum(m, len(own))))
+            equal = y[at] == x[k]
+            # a pair that agrees in all values of an earlier tree is compared there
+            earlier = equal.reshape(-1, TREES, DEPTH)[:, :tree].all(axis=2).any(axis=1)
+            for r in at[(equal.sum(axis=1) >= least) & ~earlier]:
+                if c[k] != d[r]:
+                    both = _both(own, v[r])
+                    if 100 * both >= percent * (len(own) + len(v[r]) - both):
+                        links.append((int(i[k]), int(j[r])))
+                        old = d[r]
+                        c[c == old], d[d == old] = c[k], c[k]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    member = large.distinct().join(found, "id", "left").join(reps.select("id", "n_shingles"), "id").select("id", *key, "n_shingles", F.coalesce("component", "id").alias("component"))
+    part = member.groupBy(*key, "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    split = part.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.sum("s").alias("s")).where("top.n < total")
+    count = lambda n: F.greatest(F.ceil(n / block), F.ceil(F.col("s") * n / F.col("total") / BLOCK_SHINGLES))
+    split = split.select(*key, F.col("top.component").alias("main"), count(F.col("total")).alias("blocks"), count(F.col("total") - F.col("top.n")).alias("parts"))
+    member = stored(member.join(split, key), "members")
+    held = [*key, "id", "component", "trees", "grams", "p", "q"]
+    whole = member.join(reps.select("id", "trees"), "id").join(sets, "id")
     own, every = F.xxhash64("id"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    rest = member.where("component <> main").withColumn("p", F.pmod(own, "parts").cast("int")).withColumn("q", every(F.col("blocks"))).select(held)
-    whole = member.withColumn("q", F.pmod(own, "blocks").cast("int")).withColumn("p", every(F.col("parts"))).select(held)
-    return rest.groupBy(*key, "p", "q").cogroup(whole.groupBy(*key, "p", "q")).applyInArrow(run, "a long, b long").distinct()
+    rest = whole.where("component <> main").withColumn("p", F.pmod(own, "parts").cast("int")).withColumn("q", every(F.col("blocks"))).select(held).toDF(*held)
+    whole = whole.withColumn("q", F.pmod(own, "blocks").cast("int")).withColumn("p", every(F.col("parts"))).select(held).toDF(*held)
+    return rest.groupBy(*key, "p", "q").cogroup(whole.groupBy(*key, "p", "q")).applyInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -269,13 +301,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
-                both = 0
-                if 100 * len(x) >= percent * len(y):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                both = _both(x, y)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep))], names=["a", "b"])
 
@@ -301,12 +328,6 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The links among pairs, on the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return confirm(pairs, stored(_sets(docs, ids), "sets"), percent)
-
-
 def near_groups(docs: DataFrame, percent: int = 85, region: int = REGION, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     sig = stored(signatures(docs), "signatures")
@@ -315,15 +336,17 @@ def near_groups(docs: DataFrame, percent: int = 85, region: int = REGION, block:
     reps = known.join(classes.select("id", F.col("class").alias("c")), (F.col("doc_id") == F.col("id")) & (F.col("class") == F.col("c"))).select("id", "n_shingles", "trees")
     reps = stored(reps, "representatives")
     pairs, large = candidates(reps, region)
-    links = _confirmed(docs, stored(screened(pairs, reps, percent), "pairs"), percent)
+    pairs = stored(screened(pairs, reps, percent), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
+    sets = stored(_sets(docs, ids), "sets")
+    links = confirm(pairs, sets, percent)
     # rows that share a doc_id but not a set are one document: its classes are linked through their representatives
     shared = known.groupBy("doc_id").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("n > 1 AND c1 <> c2").select("doc_id")
     own = known.select("doc_id", "class").join(shared, "doc_id", "left_semi").join(classes.select("class", "id"), "class")
     links = links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     found = components(links)
-    more = stored(across(large, found, reps, percent, block), "across")
-    if not more.isEmpty():
-        links = _confirmed(docs, more, percent)
+    links = stored(across(large, found, reps, sets, percent, block), "across")
+    if not links.isEmpty():
         for end in ("a", "b"):
             links = links.join(found.withColumnRenamed("id", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
         joined = components(links).select(F.col("id").alias("component"), F.col("component").alias("root"))
