@@ -209,3 +209,18 @@ def test_language(spark, empty):
     assert all(x.lang_pred == x.lang for i, x in got.items() if i is not None and i < 60)
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[None].lang_pred == "xx"
     assert lang_rank.predict(empty, {}).count() == 0
+
+
+def test_pipeline(spark, docs, texts, library, tmp_path):
+    """Texts without letters go, one of each near-duplicate group stays, the mix sets how often, ids are the library's."""
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t) and i not in (1, 2)}
+    mixed = by_id(budget_mix.mix(docs.where(F.col("doc_id").isin(list(kept)))))
+    times = Counter(r.doc_id for r in got)
+    assert times == Counter({i: mixed[i].taken // mixed[i].size for i in kept if mixed[i].taken})
+    for r in got:
+        ids = np.array(library.encode(kept[r.doc_id], add_special_tokens=False).ids, "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
