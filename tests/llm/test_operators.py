@@ -104,6 +104,23 @@ def test_line_dedup(spark, docs, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+def test_line_dedup_counts_distinct_bodies(spark):
+    """A notice of five lines goes from unlike documents with one line of their own; edited copies of one document keep theirs."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    line = lambda n: " ".join(word() for _ in range(n))
+    notice, own, whole = [line(9) for _ in range(5)], [line(10) for _ in range(12)], [line(12) for _ in range(12)]
+    rows = [(i, "\n".join([*notice, t])) for i, t in enumerate(own)]
+    for i in range(20):
+        copy = [x.split() for x in whole]
+        copy[i % 12][i % 7 + 3] = word()
+        rows.append((100 + i, "\n".join(map(" ".join, copy))))
+    rows.append((None, "\n".join([*notice, line(10)])))
+    got = by_id(line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        assert got[i].text == (t if i is not None and i >= 100 else t.split("\n")[-1])
+
+
 def test_secrets(spark, docs, empty):
     r = random.Random(3)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
