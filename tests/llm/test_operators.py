@@ -121,6 +121,20 @@ def test_line_dedup_counts_distinct_bodies(spark):
         assert got[i].text == (t if i is not None and i >= 100 else t.split("\n")[-1])
 
 
+def test_line_dedup_thresholds_fall_with_length(spark):
+    """A line and a passage of over 50 words go from two unlike documents, a short notice from many; other lines of two stay."""
+    r = random.Random(10)
+    line = lambda n: " ".join("".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+    long, passage, common = line(60), "\n".join(line(11) for _ in range(5)), line(20)
+    own = [[line(30), line(30), line(30)] for _ in range(10)]
+    rows = [(i, f"{a}\nAll rights reserved.\n{b}\n\n{c}") for i, (a, b, c) in enumerate(own[:6])]
+    rows += [(i, f"{own[i][0]}\n{long}\n{own[i][1]}\n{common}\n{own[i][2]}") for i in (6, 7)]
+    rows += [(i, f"{own[i][0]}\n{passage}\n{own[i][1]}\nOnly twice.\n{own[i][2]}") for i in (8, 9)]
+    got = by_id(line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows:
+        assert got[i].text == t.replace("All rights reserved.\n", "").replace(long + "\n", "").replace(passage + "\n", "")
+
+
 def test_secrets(spark, docs, empty):
     r = random.Random(3)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
