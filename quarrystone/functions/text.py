@@ -25,6 +25,17 @@ def lexical_tokens(text: Column) -> Column:
     return F.when(low.rlike(CJK), F.concat(latin, F.flatten(cjk))).otherwise(latin)
 
 
+def inner_tokens(text: Column) -> Column:
+    """Distinct lexical tokens of every text that contains this one: Latin runs but those at its two ends, bigrams of CJK runs.
+
+    A CJK run itself may go on in the other text; a Latin run may where nothing stands before or after it, or a
+    separator that joins it to what follows."""
+    low = normalized(text)
+    latin = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(low, "^[a-z0-9_.:/-]+", " "), "[a-z0-9_.:/-]+$", " "), F.lit(LATIN), F.lit(0))
+    pairs = F.filter(lexical_tokens(text), lambda t: (F.length(t) == 2) & t.rlike(f"^{CJK}$"))
+    return F.array_distinct(F.concat(latin, pairs))
+
+
 def html_text(html: Column) -> Column:
     """Script and style bodies go, tags become line feeds, common entities are unescaped."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "")

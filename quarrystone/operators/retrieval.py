@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import inner, lexical_tokens, normalized
+from quarrystone.functions.text import inner, inner_tokens, lexical_tokens, normalized
 
 K1, B = 1.5, 0.75
 RRF_K = 60.0
@@ -37,9 +37,10 @@ def ranked(scores: DataFrame, k: int, by: str = "score", name: str = "rank") ->
 def exact_phrases(records: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, id of the records that contain the whole normalised query.
 
-    Candidates hold every token of the query but the first and last, which the phrase may cut; queries
-    of at most two tokens have none and are compared with every record."""
-    q = queries.select("query_id", normalized(F.col("text")).alias("phrase"), F.array_distinct(F.slice(lexical_tokens(F.col("text")), 2, F.greatest(F.lit(0), F.size(lexical_tokens(F.col("text"))) - 2))).alias("inside"))
+    Candidates hold every token that all texts with the phrase have: the bigrams of its CJK runs, and its Latin
+    tokens but one at either end in text order, which the phrase may cut. Queries without such tokens are
+    compared with every record."""
+    q = queries.select("query_id", normalized(F.col("text")).alias("phrase"), inner_tokens(F.col("text")).alias("inside"))
     r = records.select("id", normalized(F.col("text")).alias("body"), lexical_tokens(F.col("text")).alias("tokens"))
     need = q.where(F.size("inside") > 0).select("query_id", F.size("inside").alias("n"), F.explode("inside").alias("token"))
     have = r.select("id", F.explode(F.array_distinct("tokens")).alias("token"))

@@ -33,3 +33,15 @@ def test_metrics(spark):
     hits = spark.createDataFrame([(1, 1, 2), (1, 2, 8)], "query_id long, id long, rank int")
     r = Q.metrics(expected, hits).first()
     assert (r.recall_5, r.recall_10, r.all_10, r.mrr) == (0.333333, 0.666667, 0.5, 0.25)
+
+
+def test_exact_phrase_with_cjk_runs_at_its_ends(spark):
+    """A CJK run at an end of the phrase may go on in the record; so may a Latin token."""
+    from quarrystone.operators import retrieval
+
+    texts = ["用 gpt 模型训练 吧", "gpt 模型", "大模型训练和 gpt 数据集合", "xgpt-a 模型训 b.c"]
+    phrases = ["gpt 模型训", "模型训练和 gpt 数据集", "a 模型训 b", "模型 gpt 数据", "gpt 模型"]
+    records = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    queries = spark.createDataFrame(list(enumerate(phrases)), "query_id long, text string")
+    got = {(r.query_id, r.id) for r in retrieval.exact_phrases(records, queries).collect()}
+    assert got == {(q, i) for q, p in enumerate(phrases) for i, t in enumerate(texts) if p in t}
