@@ -9,7 +9,8 @@ Unseen words are merged exactly: the pair of lowest rank first, the leftmost of
 
 The steps follow the tokenizer file: special strings are cut out first, then NFC, lower case by
 character, and the pattern of the Split pre-tokenizer; no piece crosses white space, so texts are
-worked on by their white-space-free parts. Decoding maps ids to token strings and joins them by blanks,
+worked on by their white-space-free parts. Beyond Latin-1, composition, lower case and the classes of letters and numbers
+change with the version of Unicode: there they are asked of the library, once a part and once a character. Decoding maps ids to token strings and joins them by blanks,
 as a tokenizer without decoder does.
 
 Null texts count as empty: no ids, the empty string. A null doc_id is kept. Equal rows get equal rows.
@@ -20,23 +21,29 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import file_system, id_text, in_slices, shared_path, stored
+from quarrystone.llm.common import by_chars, file_system, id_text, in_slices, shared_path, stored
+from quarrystone.llm.word_ids import WordIds
 
 LEXICON_WORDS = 1 << 16
+#: Words that a task counts before it emits them.
+COUNTED = 200_000
 #: White space as the tokenizer's patterns take it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
-ODD = regex.compile("[\x1c-\x1f]")
+#: Parts of these characters alone are composed, and the same in every version of Unicode.
+LATIN = regex.compile("[\\x00-\u00ff]*")
+SHORT = regex.compile("'(?:s|t|re|ve|m|ll|d)")
+RUN = regex.compile("L+|N|P+|S+")
 HEAD = struct.Struct("<8sIIII")
 MAGIC = b"QSMAT001"
 
@@ -49,12 +56,28 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(free)) for b in range(256)]
 
 
+class Kinds(dict):
+    """Of a character: L letter, N number, S white space, P anything else, as the library's pre-tokenizer takes it."""
+
+    def __init__(self, split):
+        self.split = split
+
+    def __missing__(self, c: str) -> str:
+        alone = len(self.split(c))
+        self[c] = "S" if not alone else "L" if len(self.split("a" + c)) == 1 else "P" if len(self.split("-" + c)) == 1 else "N"
+        return self[c]
+
+
 class Bpe:
     """The parts of a tokenizer file, and exact merging."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalize, self.kind = library.normalizer.normalize_str, Kinds(library.pre_tokenizer.pre_tokenize_str)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -62,20 +85,40 @@ class Bpe:
         self.rank = {p: k for k, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.heads = {s[0] for s in self.special}
         tokens = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.special.items()}
         self.tokens = [tokens.get(k, "") for k in range(max(tokens) + 1)]
         self.symbols = byte_symbols()
 
     def pieces(self, part: str) -> list[str]:
         """Normalised pieces of a text without white space and special strings."""
+        if not part:
+            return []
         if part.isascii():
             low = part.lower()
             if low.isalpha():
                 return [low]
             return [low[:-1], low[-1]] if low[:-1].isalpha() else PIECES.findall(low)
-        part = unicodedata.normalize("NFC", part)
-        low = part.lower() if "\u03a3" not in part else "".join(c.lower() for c in part)
-        return PIECES.findall(low)
+        if LATIN.fullmatch(part):
+            return PIECES.findall(part.lower())
+        low, out, at = self.normalize(part), [], 0
+        kinds = "".join(map(self.kind.__getitem__, low))
+        while at < len(low):
+            m = SHORT.match(low, at) or RUN.match(kinds, at)
+            if kinds[at] != "S":
+                out.append(low[at : m.end()])
+            at = m.end()
+        return out
+
+    def parts(self, part: str) -> list[str | int]:
+        """Pieces and ids of special strings of a text without white space."""
+        if self.heads.isdisjoint(part):
+            return self.pieces(part)
+        out, at = [], 0
+        for m in self.cut.finditer(part):
+            out += [*self.pieces(part[at : m.start()]), self.special[m[0]]]
+            at = m.end()
+        return out + self.pieces(part[at:])
 
     def merge(self, piece: bytes) -> list[int]:
         word = [self.symbols[b] for b in piece]
@@ -210,53 +253,42 @@ class Lexicon:
 
 
 class Encoder:
-    """Texts to ids by lexicon and merging; parts of texts seen lately are kept in two bounded generations."""
-
-    KEEP = 400_000
+    """Texts to ids by lexicon and merging."""
 
     def __init__(self, tokenizer: str, lexicon: str | None):
         self.bpe, self.lexicon = Bpe(tokenizer), Lexicon(lexicon) if lexicon else None
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, piece: str) -> bytes:
-        got = self.words.get(piece)
-        if got is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            got = self.lexicon.get(raw) if self.lexicon else None
-            if got is None:
-                got = np.array(self.bpe.merge(raw), "<u4").tobytes()
-            if len(self.words) > self.KEEP:
-                self.words.clear()
-            self.words[piece] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        if self.bpe.cut is None or "<" not in part:
-            return b"".join(map(self._word, self.bpe.pieces(part)))
-        out, at = [], 0
-        for m in self.bpe.cut.finditer(part):
-            out += [*map(self._word, self.bpe.pieces(part[at : m.start()])), struct.pack("<I", self.bpe.special[m[0]])]
-            at = m.end()
-        return b"".join([*out, *map(self._word, self.bpe.pieces(part[at:]))])
-
-    def encode(self, text: str) -> bytes:
-        parts = text.split() if ODD.search(text) is None else regex.split(f"[{WHITE}]+", text)
-        new = self.new
-        for p in set(parts).difference(new):
-            new[p] = self.old.get(p) or self._part(p)
-        out = b"".join(map(new.__getitem__, parts))
-        if len(new) > self.KEEP:
-            self.old, self.new = new, {}
-        return out
+        self.words = WordIds(self._resolve)
+
+    def _word(self, piece: str | int) -> bytes:
+        if isinstance(piece, int):
+            return struct.pack("<I", piece)
+        raw = piece.encode("utf-8")
+        got = self.lexicon.get(raw) if self.lexicon else None
+        return np.array(self.bpe.merge(raw), "<u4").tobytes() if got is None else got
+
+    def _resolve(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        known: dict[str | int, bytes] = {}
+        out = []
+        for part in words.to_pylist():
+            ids = []
+            for p in self.bpe.parts(part):
+                got = known.get(p)
+                if got is None:
+                    got = known[p] = self._word(p)
+                ids.append(got)
+            out.append(b"".join(ids))
+        return words, np.frombuffer(b"".join(out), "<u4"), np.array([len(x) // 4 for x in out], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where those of each text stop."""
+        return self.words.encode(texts)
 
 
 _encoders: dict[tuple, Encoder] = {}
 
 
 def encoder(tokenizer: str, lexicon: str | None) -> Encoder:
-    """One encoder a worker process, for the lexicon in use: its caches outlive a task."""
+    """One encoder a worker process, for the lexicon in use: its cache outlives a task."""
     key = (tokenizer, lexicon)
     if key not in _encoders:
         _encoders.clear()
@@ -276,21 +308,20 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     """word, n over all documents. Each task counts in a bounded table and emits it whenever that is full."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, parts = Bpe(tokenizer), Counter()
+        bpe, words = Bpe(tokenizer), Counter()
 
         def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for p, n in parts.items():
-                for s in bpe.cut.split(p) if bpe.cut and "<" in p else (p,):
-                    for w in bpe.pieces(s):
-                        words[w] += n
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-
-        for b in in_slices(batches):
-            for t in b.column(1).to_pylist():
-                parts.update(t.split())
-            if len(parts) > 500_000:
+            out = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            words.clear()
+            return out
+
+        for b in by_chars(batches):
+            found = pc.value_counts(pc.ascii_split_whitespace(b.column(1)).flatten())
+            for part, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                for p in bpe.parts(part):
+                    if isinstance(p, str):
+                        words[p] += n
+            if len(words) > COUNTED:
                 yield flush()
         yield flush()
 
@@ -324,11 +355,10 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, lexicon)
-        for b in in_slices(batches):
-            ids = [enc.encode(t) for t in b.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(i) // 4 for i in ids])]).astype(np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["doc_id", "ids"])
+        for b in by_chars(batches):
+            ids, stops = enc.encode(b.column(1))
+            ends = pa.array(np.concatenate([[0], stops]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(ids.view(np.int32)))], names=["doc_id", "ids"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -351,8 +381,9 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon: str | None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, lexicon)
         dec = Decoder(enc.bpe.tokens)
-        for b in in_slices(batches):
-            ids = [enc.encode(t) for t in b.column(1).to_pylist()]
+        for b in by_chars(batches):
+            flat, stops = enc.encode(b.column(1))
+            ids = [flat[a:z].astype("<u4").tobytes() for a, z in zip([0, *stops.tolist()], stops.tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ _made: list[str] = []
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests, a folder of this machine stands in."""
+    Only where that setting is missing and all runs on this machine, as in tests, a folder of it stands in."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "quarrystone-shared")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
@@ -68,5 +72,16 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
             yield b.slice(at, rows)
 
 
+def by_chars(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose column (of strings) holds at most about size bytes, or of one row."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

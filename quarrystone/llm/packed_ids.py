@@ -15,21 +15,21 @@ stay repeated. An empty table gives an empty manifest. Other columns are ignored
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 from array import array
 from collections.abc import Iterator
-from itertools import compress
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import file_system, id_text, in_slices, shared_path
+from quarrystone.llm.common import by_chars, file_system, id_text, shared_path
+from quarrystone.llm.word_ids import WordIds
 
 MAGIC = b"QSBITS01"
 HEAD, TAIL = struct.Struct("<8sII"), struct.Struct("<QQQQ8s")
@@ -63,13 +63,15 @@ class ShardWriter:
     def __init__(self, out, bits: int, block_ids: int = BLOCK_IDS):
         self.out, self.bits, self.block_ids = out, bits, block_ids
         self.held, self.n_held, self.n_ids = [], 0, 0
-        self.doc_ids, self.counts, self.at = [], [], HEAD.size
+        self.doc_ids, self.known, self.counts, self.at = array("q"), array("B"), array("q"), HEAD.size
         self.blocks = [self.at]
         out.write(HEAD.pack(MAGIC, bits, block_ids))
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
-        self.counts.append(len(ids))
+    def add(self, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents and how many of the ids each has."""
+        self.doc_ids.extend(x or 0 for x in doc_ids)
+        self.known.extend(x is not None for x in doc_ids)
+        self.counts.extend(counts.tolist())
         self.n_ids += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -88,13 +90,7 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush(True)
-        known = np.array([x is not None for x in self.doc_ids], np.uint8)
-        for part in (
-            np.array(self.blocks, "<u8"),
-            np.array([x or 0 for x in self.doc_ids], "<i8"),
-            np.array(self.counts, "<i8"),
-            known,
-        ):
+        for part in (np.array(self.blocks, "<u8"), np.array(self.doc_ids, "<i8"), np.array(self.counts, "<i8"), np.array(self.known, np.uint8)):
             self.out.write(part.tobytes())
         self.out.write(TAIL.pack(len(self.blocks) - 1, len(self.doc_ids), self.n_ids, self.at, MAGIC))
         self.out.close()
@@ -137,14 +133,25 @@ class ShardReader:
 class LibraryEncoder:
     """Ids as the tokenizers library gives them for whole texts.
 
-    The normalizer and the pre-tokenizer of these tokenizers treat white space as a boundary that no
-    token crosses, so a text's ids are those of its white-space-free pieces in order. Each distinct
-    piece goes to the library once while it stays in a bounded two-generation cache, many pieces to a
-    call with a digit between them that none of them has, whose id then parts their ids. A text with one
-    of the separators that Python, but not the library, takes for white space goes to it whole."""
-
-    KEEP = 600_000
-    ODD = re.compile("[\x1c-\x1f]")
+    Where the tokenizer file has the settings that SETTINGS states, no token crosses white space, so a text's ids
+    are those of its words in order (``WordIds``). Words of the letters LETTERS, with at most one mark behind, need no normalisation but lower case (all of them are
+    letters in every version of Unicode and composed already) and go to a copy of the tokenizer that splits at blanks
+    only; all others go to the tokenizer as it is, many to a call with a digit between them that none of them has,
+    whose id then parts their ids. With any other settings, whole texts go to the library."""
+
+    # The settings of the file word_bpe_49k.json.
+    SETTINGS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+    }
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
     MARK = "7"
 
     def __init__(self, path: str):
@@ -154,68 +161,57 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        mark = self._ids([self.MARK])[0]
-        self.mark = int(mark[0]) if len(mark) == 1 else None
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Put the ids of pieces into the cache. What is one normalised pre-token already, small ASCII letters,
-        goes straight to the library's model."""
-        tokenize, rest = self.tok.model.tokenize, []
-        for p in pieces:
-            if p.isascii() and p.isalpha() and p.islower():
-                self.new[p] = array("I", [t.id for t in tokenize(p)]).tobytes()
-            else:
-                rest.append(p)
-        joint = [p for p in rest if self.MARK not in p] if self.mark is not None else []
-        alone = [p for p in rest if self.MARK in p] if joint else rest
-        for p, ids in zip(alone, self._ids(alone), strict=True):
-            self.new[p] = ids.tobytes()
-        for k in range(0, len(joint), 4096):
-            part = joint[k : k + 4096]
-            ids = self._ids([f" {self.MARK} ".join(part)])[0]
-            raw, at = ids.tobytes(), 0
-            ends = np.flatnonzero(ids == self.mark) * 4
-            if len(ends) != len(part) - 1:
-                raise ValueError("a piece has the id of the mark")
-            for p, z in zip(part, [*ends.tolist(), len(raw)], strict=True):
-                self.new[p] = raw[at:z]
-                at = z + 4
-
-    def _resolve(self, missing: set[str]) -> None:
-        """Put missing pieces into the cache. Letters with one mark after them are the letters' ids and the
-        mark's: the pattern never joins the two. ASCII letters count in lower case, as the normalizer makes them."""
-        new, old = self.new, self.old
-        found = missing.intersection(old)
-        for w in found:
-            new[w] = old[w]
-        missing -= found
-        cores, ends = [], []
-        for w in missing:
-            head = w[:-1] if w[-1] in ".,;:!?" and len(w) > 1 else w
-            head = head.lower() if head.isascii() else head
-            cores.append(head if head.isalpha() else w)
-            ends.append(w[-1] if cores[-1] is head and len(head) < len(w) else "")
-        self._learn(list({*cores, *filter(None, ends)}.difference(new)))
-        for w, c, e in zip(missing, cores, ends, strict=True):
-            new[w] = new[c] + new[e] if e else new[c]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() if self.ODD.search(t) is None else None for t in texts]
-        if len(self.new) > self.KEEP:
-            self.old, self.new = self.new, {}
-        missing: set[str] = set()
-        for words in filter(None, split):
-            missing.update(compress(words, map(not_, map(self.new.get, words))))
-        if missing:
-            self._resolve(missing)
-        get = self.new.__getitem__
-        return [self._ids([t])[0].tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, split, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        model = data["model"]
+        added = data["added_tokens"]
+        known = all(data.get(k) == v for k, v in self.SETTINGS.items()) and model["type"] == "BPE" and model["end_of_word_suffix"]
+        self.by_word = bool(known) and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+        if self.by_word:
+            blanks = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, self.SETTINGS["pre_tokenizer"]["pretokenizers"][1]]}
+            self.plain = Tokenizer.from_str(json.dumps(data | {"normalizer": None, "pre_tokenizer": blanks, "added_tokens": [], "truncation": None, "padding": None}))
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[k for w, k in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
+            mark = self._ids(self.MARK)
+            self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.words = WordIds(self._resolve)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of LETTERS and at most one mark behind, and how many each has."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words), r"([.,;:!?])$", r" \1")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(spaced.to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
+        parts = np.cumsum(1 + pc.match_substring_regex(words, "[.,;:!?]$").to_numpy(zero_copy_only=False))
+        stops = np.flatnonzero(self.ends[ids])[parts - 1] + 1 if len(parts) else np.zeros(0, np.int64)
+        return ids, np.diff(stops, prepend=0)
+
+    def _other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(words)
+        joint = [k for k, w in enumerate(words) if self.MARK not in w] if self.mark is not None else []
+        for a in range(0, len(joint), 4096):
+            part = joint[a : a + 4096]
+            ids = self._ids(f" {self.MARK} ".join(words[k] for k in part))
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(part) - 1:
+                for k, x, z in zip(part, [0, *(marks + 1)], [*marks, len(ids)], strict=True):
+                    out[k] = ids[x:z]
+        out = [self._ids(w) if ids is None else ids for w, ids in zip(words, out, strict=True)]
+        return np.concatenate([*out, np.zeros(0, np.uint32)]), np.array([len(x) for x in out], np.int64)
+
+    def _resolve(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(words, f"^[{self.LETTERS}]+[.,;:!?]?$")
+        easy, rest = words.filter(plain), words.filter(pc.invert(plain))
+        (a, m), (b, n) = self._plain(easy), self._other(rest.to_pylist())
+        return pa.concat_arrays([easy, rest]), np.concatenate([a, b]), np.concatenate([m, n])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where those of each text stop."""
+        if self.by_word:
+            return self.words.encode(texts)
+        each = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([*each, np.zeros(0, np.uint32)]), np.cumsum([len(x) for x in each], dtype=np.int64)
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -245,15 +241,14 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
         from pyspark import TaskContext
 
         shard, writer = TaskContext.get().partitionId(), None
-        end = np.array([end_id], np.uint32)
-        for b in in_slices(batches):
+        for b in by_chars(batches):
             if writer is None:
                 fs, folder = file_system(path)
                 fs.create_dir(folder, recursive=True)
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex}.bits"
                 enc, writer = library_encoder(tokenizer), ShardWriter(fs.open_output_stream(f"{folder}/{name}"), bits, block_ids)
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
-                writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            ids, stops = enc.encode(b.column(1))
+            writer.add(b.column(0).to_pylist(), np.diff(stops, prepend=0) + 1, np.insert(ids, stops, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": name, "n_docs": len(writer.doc_ids), "n_ids": writer.n_ids}])
