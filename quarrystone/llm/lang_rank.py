@@ -7,7 +7,7 @@ from its place in the language's, an n-gram it lacks costing the whole profile l
 
 Ties in frequency are broken by the n-gram's code. Null texts and texts without a letter get ``und``
 with score 0; where nothing was learned every text gets it. A null doc_id counts as the empty string
-in the fold and is held out. Only the profiles (languages x PROFILE rows) reach the driver.
+in the fold and is held out. Only n-grams that profiles are chosen from (16 x PROFILE rows a language) reach the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import documents, in_slices
+from quarrystone.llm.common import by_chars, documents
 
 PROFILE = 400
 NONE = "und"
@@ -96,7 +96,7 @@ def learn(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """train: lang, text. Counts n-grams over all rows; only the profiles come back."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_chars(batches):
             by: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(text))
@@ -116,20 +116,21 @@ def learn(train: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     return out
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """docs with lang_pred and score added as the struct column ``_lang``; other columns stay as they are."""
+def language(profiles: dict[str, list[int]]):
+    """A function of a text column that gives lang_pred and score; other columns never leave the JVM."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Profiles(profiles)
-        for b in batches:
-            got = [model.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=["row", "lang_pred", "score"]
-            )
+        for part in texts:
+            names, scores = [], []
+            for at in range(0, len(part), 512):
+                for t in part.slice(at, 512).to_pylist():
+                    name, score = model.predict(t)
+                    names.append(name), scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("t"))
-    kind = row.schema["row"].dataType.simpleString()
-    return row.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return run
 
 
 def learn_folds(docs: DataFrame) -> dict[str, list[int]]:
@@ -138,8 +139,5 @@ def learn_folds(docs: DataFrame) -> dict[str, list[int]]:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = predict(slim, learn_folds(docs))
-    return got.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score").select(
-        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
-    )
+    got = language(learn_folds(docs))(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), got.alias("x")).select("doc_id", "held_out", "x.*")
