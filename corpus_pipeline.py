@@ -16,8 +16,8 @@ from quarrystone.llm.queries import word_bpe
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null texts and texts without a letter."""
-    got = lang_rank.predict(docs, lang_rank.learn_folds(docs))
-    return got.where(F.col("lang_pred") != lang_rank.NONE).select("row.*")
+    pred = lang_rank.language(lang_rank.learn_folds(docs))(F.col("text").cast("string"))
+    return docs.where(pred["lang_pred"] != lang_rank.NONE)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of every near-duplicate group (similarity 0.8 of five-word shingles)."""
-    kept = lsh_forest.near_groups(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = lsh_forest.near_groups(docs, percent=80).where("NOT kept").select(F.struct(F.col("doc_id")).alias("gone"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
