@@ -3,14 +3,18 @@
 The patterns label credentials by kind. For every kind a prefix tree of labelled values is generalised
 by merging states whose counts are statistically compatible (ALERGIA: Hoeffding bounds on every
 symbol's and the end's frequency), which gives a probabilistic automaton of the format. Symbols are
-character classes; within a class a character counts as uniform. Every run of credential characters
-outside the base spans, long enough and holding a digit and a letter, is scored by each automaton
-against a bigram model of ordinary candidates; it becomes a span ``gram`` where the mean log
-likelihood ratio per character of the best automaton reaches the threshold.
-
-Training values are a bounded sample: the TRAIN_VALUES of each kind that have the smallest hashes of all
-in the corpus. Everything else reads all rows. Null texts count as empty; a null doc_id is kept; equal
-rows give equal rows; without labelled values no span is added. Offsets are code points.
+character classes; within a class a character counts as uniform. Candidates are all runs of credential characters outside
+the base spans (what a base span leaves of a run is one), from SHORTEST characters on. Each is scored by every automaton against
+a bigram model of ordinary candidates, and becomes a span ``gram`` where the mean log likelihood ratio per character of
+the best automaton reaches the threshold.
+
+A batch's distinct candidates are found in Arrow and scored together, character by character in numpy, so that time is
+linear in the text; runs of any length are scored. Texts without base spans and likely candidates are not looked at again.
+
+Training values are a bounded sample: the TRAIN_VALUES of each kind, and the PLAIN_VALUES ordinary candidates, that have the smallest hashes of all
+in the corpus, cut to TRAIN_CHARS characters. Everything else reads all rows and whole texts. Null texts count as empty;
+a null doc_id is kept; equal rows give equal rows; without labelled values no span is added. Offsets are code points.
+Other columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,24 +24,31 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import id_text, in_slices, stored
+from quarrystone.llm.common import by_chars, id_text, stored
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns. Letters of the keywords match in either case.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}")
-TRAIN_VALUES = 400
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: What a text with a base span has, as a quick search.
+HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}"
+#: The least characters of a candidate: those of the shortest value that a pattern labels.
+SHORTEST = 6
+TRAIN_VALUES, PLAIN_VALUES, TRAIN_CHARS = 400, 8000, 256
 ALPHA = 0.05
 #: Mean log likelihood ratio per character from which a candidate counts as a credential.
-LIKELY = 0.6
+LIKELY = 1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -151,46 +162,146 @@ class Scanner:
     def __init__(self, values: dict[str, list[str]], alpha: float = ALPHA, likely: float = LIKELY):
         self.automata = [Automaton(sorted(values[k]), alpha) for k in KINDS if values.get(k)]
         self.background, self.likely = Background(sorted(values.get("none", []))), likely
+        self.tables = [self._table(a) for a in self.automata]
+        chars = "".join(CLASS_OF)
+        self.code = np.zeros(128, np.int64)
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        every = "\n" + chars
+        self.pair = np.array([[math.log((self.background.pair.get((x, y), 0) + 0.5) / (self.background.one.get(x, 0) + 0.5 * 69)) for y in every] for x in every])
+
+    def _table(self, a: Automaton) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per state and character: log probability and next state; per state: log probability of the end."""
+        kinds, n = len(CLASSES) + 1, len(a.reached)
+        log, after = np.zeros((n, len(CLASS_OF) + 1)), np.zeros((n, len(CLASS_OF) + 1), np.int64)
+        for s in range(n):
+            for k, c in enumerate(CLASS_OF.values()):
+                log[s, k + 1] = math.log((a.count[s].get(c, 0) + 0.5) / (a.reached[s] + 0.5 * kinds)) - LOG_SIZE[c]
+                after[s, k + 1] = a.next[s].get(c, 0)
+        return log, after, np.array([math.log((a.ended[s] + 0.5) / (a.reached[s] + 0.5 * kinds)) for s in range(n)])
 
     def score(self, value: str) -> float:
         if not self.automata:
             return -math.inf
         return (max(a.log_likelihood(value) for a in self.automata) - self.background.log_likelihood(value)) / (len(value) + 1)
 
-    def added(self, text: str, base: list[tuple]) -> list[tuple[int, int, int]]:
-        out, taken = [], [(s, e) for s, _, e, _ in base]
-        for m in CANDIDATE.finditer(text):
-            a, z = m.span()
-            if any(s < z and a < e for s, e in taken) or not any(c.isalpha() for c in m[0]):
-                continue
-            if self.score(m[0]) >= self.likely:
-                out.append((a, len(KINDS), z))
+    def scores(self, values: pa.Array) -> np.ndarray:
+        """score() of each of many values, the longest first, one character of all at a time."""
+        n = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not self.automata or not len(n):
+            return np.full(len(n), -np.inf)
+        order = np.argsort(-n, kind="stable")
+        ends = np.cumsum(n)
+        text = self.code[np.frombuffer("".join(values.to_pylist()).encode(), np.uint8)]
+        size, start = n[order], (ends - n)[order]
+        best = np.full(len(n), -np.inf)
+        plain, last = np.zeros(len(n)), np.zeros(len(n), np.int64)
+        sums, states = [np.zeros(len(n)) for _ in self.tables], [np.zeros(len(n), np.int64) for _ in self.tables]
+        for k in range(int(size[0])):
+            m = int(np.searchsorted(-size, -k, "left"))  # values with more than k characters
+            c = text[start[:m] + k]
+            plain[:m] += self.pair[last[:m], c]
+            last[:m] = c
+            for (log, after, _), total, state in zip(self.tables, sums, states, strict=True):
+                total[:m] += log[state[:m], c]
+                state[:m] = after[state[:m], c]
+        plain += self.pair[last, 0]
+        for (_, _, end), total, state in zip(self.tables, sums, states, strict=True):
+            best = np.maximum(best, total + end[state])
+        out = np.empty(len(n))
+        out[order] = (best - plain) / (size + 1)
         return out
 
-
-def labelled_values(docs: DataFrame, most: int = TRAIN_VALUES) -> dict[str, list[str]]:
+    def scan(self, texts: pa.Array) -> list[tuple[list[tuple], list[tuple]]]:
+        """Of each text its base spans and the added ones."""
+        hints = pc.match_substring_regex(texts, HINT).to_numpy(zero_copy_only=False)
+        base: list[list[tuple]] = [[] for _ in range(len(texts))]
+        plain = {}
+        for k in np.flatnonzero(hints).tolist():
+            t = texts[k].as_py()
+            base[k] = base_spans(t)
+            if base[k]:
+                plain[k] = uncovered(t, base[k])
+        runs = candidates(with_changes(texts, plain))
+        likely = np.flatnonzero(self.scores(runs.dictionary) >= self.likely)
+        rows = np.unique(runs.rows[np.isin(runs.index, likely)])
+        known = set(runs.dictionary.take(pa.array(likely)).to_pylist())
+        added: list[list[tuple]] = [[] for _ in range(len(texts))]
+        for k in rows.tolist():
+            t = plain.get(k) or texts[k].as_py()
+            added[k] = [(m.start(), len(KINDS), m.end()) for m in RUN.finditer(t) if m[0] in known]
+        return list(zip(base, added, strict=True))
+
+
+def uncovered(text: str, base: list[tuple]) -> str:
+    """The text with blanks where base spans are."""
+    out, at = [], 0
+    for s, _, e, _ in sorted(base, key=lambda x: x[0]):
+        if e > at:
+            s = max(s, at)
+            out += [text[at:s], " " * (e - s)]
+            at = e
+    return "".join([*out, text[at:]])
+
+
+def with_changes(texts: pa.Array, changed: dict[int, str]) -> pa.Array:
+    if not changed:
+        return texts
+    mask = np.zeros(len(texts), bool)
+    mask[list(changed)] = True
+    return pc.replace_with_mask(texts, pa.array(mask), pa.array([changed[k] for k in sorted(changed)], texts.type))
+
+
+class Candidates(NamedTuple):
+    dictionary: pa.Array
+    index: np.ndarray
+    rows: np.ndarray
+
+
+def candidates(texts: pa.Array) -> Candidates:
+    """The distinct runs of credential characters from SHORTEST on, and each of their places: run and text."""
+    lists = pc.split_pattern_regex(texts, "[^A-Za-z0-9+/_.=-]+")
+    flat, rows = lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    long = pc.greater_equal(pc.binary_length(flat), SHORTEST)
+    coded = pc.dictionary_encode(flat.filter(long))
+    return Candidates(coded.dictionary, coded.indices.to_numpy(), rows[long.to_numpy(zero_copy_only=False)])
+
+
+def labelled_values(docs: DataFrame, labelled: int = TRAIN_VALUES, plain: int = PLAIN_VALUES) -> dict[str, list[str]]:
     """Of each kind (and of unlabelled candidates, ``none``) the values with the smallest hashes."""
+    bounds = dict.fromkeys(KINDS, labelled) | {"none": plain}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, dict[int, str]] = {}
-        for b in in_slices(batches):
-            for t in b.column(1).to_pylist():
+        best: dict[str, dict[int, str]] = {k: {} for k in (*KINDS, "none")}
+
+        def put(kind: str, values) -> None:
+            held, bar = best[kind], bars.get(kind, 1 << 63)
+            for v in values:
+                h = xxhash.xxh3_64_intdigest(v) >> 1
+                if h < bar:
+                    held[h] = v[:TRAIN_CHARS]
+            if len(held) > 4 * bounds[kind]:
+                best[kind] = dict(sorted(held.items())[: bounds[kind]])
+                bars[kind] = max(best[kind])
+
+        bars: dict[str, int] = {}
+        for b in by_chars(batches):
+            texts, bare = b.column(1), {}
+            for k in np.flatnonzero(pc.match_substring_regex(texts, HINT).to_numpy(zero_copy_only=False)).tolist():
+                t = texts[k].as_py()
                 base = base_spans(t)
-                rows = [(KINDS[k], v) for _, k, _, v in base]
-                rows += [("none", m[0]) for m in CANDIDATE.finditer(t) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)]
-                for kind, v in rows:
-                    best.setdefault(kind, {})[xxhash.xxh3_64_intdigest(v) >> 1] = v
-            for kind, held in best.items():
-                if len(held) > 4 * most:
-                    best[kind] = dict(sorted(held.items())[:most])
-        out = [{"kind": k, "h": h, "value": v} for k, held in best.items() for h, v in sorted(held.items())[:most]]
+                for _, kind, _, v in base:
+                    put(KINDS[kind], (v,))
+                if base:
+                    bare[k] = uncovered(t, base)
+            put("none", candidates(with_changes(texts, bare)).dictionary.to_pylist())
+        out = [{"kind": k, "h": h, "value": v} for k, held in best.items() for h, v in sorted(held.items())[: bounds[k]]]
         if out:
             yield pa.RecordBatch.from_pylist(out, pa.schema([("kind", pa.string()), ("h", pa.int64()), ("value", pa.string())]))
 
     found = stored(id_text(docs).mapInArrow(run, "kind string, h long, value string").distinct(), "credentials")
     out = {}
     for kind in (*KINDS, "none"):
-        out[kind] = [r.value for r in found.where(F.col("kind") == kind).orderBy("h").limit(most).collect()]
+        out[kind] = [r.value for r in found.where(F.col("kind") == kind).orderBy("h").limit(bounds[kind]).collect()]
     return out
 
 
@@ -198,14 +309,13 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     names = (*KINDS, "gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches):
+        for b in by_chars(batches):
             counts, digest, spans = ([], [], []), [], []
-            for t in b.column(1).to_pylist():
-                base = base_spans(t)
+            for base, added in scanner.scan(b.column(1)):
                 for k in range(3):
                     counts[k].append(sum(x[1] == k for x in base))
                 digest.append(hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e, _ in base).encode()).hexdigest())
-                every = sorted([x[:3] for x in base] + scanner.added(t, base))
+                every = sorted([x[:3] for x in base] + added)
                 spans.append(",".join(f"{names[k]}:{s}:{e}" for s, k, e in every))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())],
