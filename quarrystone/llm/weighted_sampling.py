@@ -4,11 +4,11 @@ A document is a bag of words weighted by how often each occurs. A sample follows
 of weight w, r and c are Gamma(2, 1) and b uniform, all drawn from hashes of the term; with
 t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, the term of least a is sampled together with
 t. Two documents draw the same sample with a probability equal to their generalised Jaccard
-similarity. Terms are dealt over BINS bins by hash and each bin draws one sample (bin-wise consistent
-weighted sampling, Li and Li 2021), so a term is drawn for once, not once a sample. The likeness of two
-fingerprints is the share of equal samples among the bins that either fills.
+similarity. A fingerprint has BINS * DRAWS samples. Terms are dealt over BINS bins by hash and each bin draws DRAWS
+samples (bin-wise consistent weighted sampling, Li and Li 2021), so a term is drawn for DRAWS times, not once a sample. The
+likeness of two fingerprints is the share of equal samples among the bins that either fills.
 
-A fingerprint is 8 hexadecimal digits a bin, dots for an empty bin. Null texts are empty; an empty
+A fingerprint is 8 hexadecimal digits a sample, dots in an empty bin. Null texts are empty; an empty
 text fills no bin; two empty ones have likeness 1. Rows are ordered by doc_id, then by a hash of the text;
 null doc_ids come last in descending order; rows equal in both are one document in that order, so equal rows
 get equal results. A single document is its own next. Empty tables give no rows.
@@ -21,39 +21,50 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import SPACE, documents, id_text, stored
 
-BINS = 64
+#: Terms are dealt over so many bins, and each bin draws so many samples.
+BINS, DRAWS = 8, 8
 LOW = -(1 << 63)
 
 
-def _uniform(term: Column, k: int) -> Column:
-    """In (0, 1], from a hash of the term."""
-    return (F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 11) + 1) / F.lit(float(1 << 53))
+def _uniforms(term: Column, k: int) -> tuple[Column, Column]:
+    """Two numbers between 0 and 1, from the halves of a hash of the term."""
+    h = F.xxhash64(term, F.lit(k))
+    low = F.lit((1 << 32) - 1)
+    return (h.bitwiseAND(low) + 0.5) / F.lit(float(1 << 32)), (F.shiftrightunsigned(h, 32) + 0.5) / F.lit(float(1 << 32))
 
 
-def _sample(term: Column, weight: Column) -> Column:
+def _sampled(term: Column, ln_weight: Column, r: Column, ln_c: Column, b: Column) -> Column:
     """A long whose order is that of ln a (top 32 bits) and whose low 32 bits name the sample (term, t)."""
-    r = -F.log(_uniform(term, 1) * _uniform(term, 2))
-    c = -F.log(_uniform(term, 3) * _uniform(term, 4))
-    b = _uniform(term, 5)
-    t = F.floor(F.log(weight.cast("double")) / r + b)
-    ln_a = F.log(c) - r * (t - b) - r
-    # ln a lies within +-2**10: as a fixed-point number of 31 bits it keeps 20 bits below the point
-    fixed = F.least(F.greatest(F.round(ln_a * float(1 << 20)), F.lit(float(-(1 << 30)))), F.lit(float((1 << 30) - 1))).cast("long")
+    t = F.floor(ln_weight / r + b)
+    ln_a = ln_c - r * (t - b) - r
+    # ln a lies within +-2**8: as a fixed-point number it keeps 20 bits below the point. Nothing here may turn null into a number.
+    fixed = F.floor(ln_a * float(1 << 20))
     return F.shiftleft(fixed, 32).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 32) - 1)))
 
 
 def bag_signatures(texts: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys and, for every text column, an array of BINS ints (null for an empty bin) under the column's name.
+    """keys and, for every text column, an array of BINS * DRAWS ints (null for an empty bin) under the column's name.
 
     Rows that are already dealt by keys are not shuffled again. A row without any word gives no row."""
     bags = F.array(*[F.struct(F.lit(k).alias("which"), F.col(c).alias("body")) for k, c in enumerate(columns)])
     each = texts.select(*keys, F.explode(bags).alias("x")).select(*keys, "x.which", F.explode(F.split("x.body", f"[{SPACE}]+")).alias("w")).where("w <> ''")
-    bag = each.select(*keys, "which", F.xxhash64("w").alias("term")).groupBy(*keys, "which", "term").agg(F.count("*").alias("n"))
-    place = F.col("which") * BINS + F.pmod(F.shiftright("term", 7), F.lit(BINS))
-    drawn = bag.select(*keys, place.alias("place"), _sample(F.col("term"), F.col("n")).alias("v"))
-    least = [F.min(F.when(F.col("place") == k, F.col("v"))).alias(f"v{k}") for k in range(BINS * len(columns))]
-    low = lambda k: F.shiftright(F.shiftleft(F.col(f"v{k}"), 32), 32).cast("int")
-    return drawn.groupBy(*keys).agg(*least).select(*keys, *[F.array(*[low(i * BINS + k) for k in range(BINS)]).alias(c) for i, c in enumerate(columns)])
+    counts = [F.sum((F.col("which") == k).cast("int")).alias(f"n{k}") for k in range(len(columns))]
+    bag = each.select(*keys, "which", F.xxhash64("w").alias("term")).groupBy(*keys, "term").agg(*counts)
+    term, drawn = F.col("term"), []
+    for j in range(DRAWS):
+        (u1, u2), (u3, u4), (b, _) = (_uniforms(term, 3 * j + k) for k in range(3))
+        drawn += [(-F.log(u1 * u2)).alias(f"r{j}"), F.log(-F.log(u3 * u4)).alias(f"c{j}"), b.alias(f"b{j}")]
+    numbers = bag.select(*keys, "term", F.pmod(F.shiftright("term", 7), F.lit(BINS)).alias("bin"), *[F.log(F.col(f"n{k}").cast("double")).alias(f"l{k}") for k in range(len(columns))], *drawn)
+    least = []
+    for k in range(len(columns)):
+        # a term that a text lacks has no logarithm, so its samples are null: a condition would keep common parts from being shared
+        least += [F.min(_sampled(term, F.col(f"l{k}"), F.col(f"r{j}"), F.col(f"c{j}"), F.col(f"b{j}"))).alias(f"v{k}_{j}") for j in range(DRAWS)]
+    low = lambda c: F.shiftright(F.shiftleft(F.col(c), 32), 32).cast("int")
+    bins = numbers.groupBy(*keys, "bin").agg(*least).select(*keys, "bin", *[F.array(*[low(f"v{k}_{j}") for j in range(DRAWS)]).alias(f"a{k}") for k in range(len(columns))])
+    maps = [F.map_from_entries(F.collect_list(F.struct("bin", f"a{k}"))).alias(f"m{k}") for k in range(len(columns))]
+    none = F.array_repeat(F.lit(None).cast("int"), DRAWS)
+    whole = lambda k: F.flatten(F.array(*[F.coalesce(F.try_element_at(f"m{k}", F.lit(i).cast("long")), none) for i in range(BINS)]))
+    return bins.groupBy(*keys).agg(*maps).select(*keys, *[whole(k).alias(c) for k, c in enumerate(columns)])
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -100,7 +111,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = base.join(tails, key).select(*key, "text", F.concat(F.expr("substring(text, 1, length(text) - half)"), "tail").alias("edited"))
     drawn = bag_signatures(both, key, ["text", "edited"])
     made = stored(both.select(*key, F.sha2("edited", 256).alias("sha")).join(drawn, key, "left"), "fingerprints")
-    none = F.array_repeat(F.lit(None).cast("int"), BINS)
+    none = F.array_repeat(F.lit(None).cast("int"), BINS * DRAWS)
     own, edited, after = (F.coalesce(c, none) for c in ("text", "edited", "next_text"))
     nexts = made.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
     rows = made.join(order, key).join(nexts, ["next_id", "next_h"]).join(slim, key).select("id", "n", "m", "sha", own.alias("a"), edited.alias("b"), after.alias("c"))
