@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.llm import bpe_lexicon, budget_mix, grace_dedup, lang_rank, license_scan, lsh_forest, packed_ids, secret_grammar, weighted_sampling
+from quarrystone.llm import bpe_lexicon, budget_mix, grace_dedup, lang_rank, lsh_forest, packed_ids, weighted_sampling
 from quarrystone.llm.queries import word_bpe
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -70,16 +70,6 @@ def test_packed_ids(spark, docs, empty, texts, library):
     assert packed_ids.op1_token_ids(spark, empty, word_bpe()).count() == 0
 
 
-def test_licenses(spark, docs, empty):
-    files = spark.createDataFrame(
-        [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c.py", "x = 1"), (3, "a/b/d.py", "# Released under the MIT License.\n" + "x = y + z\n" * 9), (4, "z/e.py", None), (5, None, "y"), (6, "a", "the license of this very long sentence about other things is unknown to anybody here")],
-        "key long, path string, text string",
-    )
-    got = {r.key: (r.license, r.via) for r in license_scan.inherit(license_scan.own_licenses(files)).collect()}
-    assert got == {1: ("Apache-2.0", "own"), 2: ("Apache-2.0", "inherited"), 3: ("MIT", "own"), 4: (None, "none"), 5: (None, "none"), 6: (None, "none")}
-    assert license_scan.inherit(license_scan.own_licenses(license_scan.document_paths(empty))).count() == 0
-
-
 @pytest.mark.parametrize("budget", [grace_dedup.BUDGET, 3000])
 def test_exact_dedup(docs, empty, texts, budget):
     groups = {}
@@ -93,18 +83,6 @@ def test_exact_dedup(docs, empty, texts, budget):
     assert sum(r.kept for r in twice) == len(groups)
 
 
-def test_secrets(spark, docs, empty):
-    r = random.Random(3)
-    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
-    rows = [(i, f'say token = "{h}" now AKIA{h[:16].upper()} end passWord:abc mail{i}.example.com 10.20.{i}.104') for i, h in enumerate(hexes)]
-    rows += [(100, "key " + hexes[0][:22] + " and plain words mail7.example.com"), (101, None)]
-    got = by_id(secret_grammar.op5_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string")))
-    assert (got[0].n_assign, got[0].n_access, got[0].n_hex) == (1, 1, 1)
-    assert got[101].base_sha256 == hashlib.sha256(b"").hexdigest() and got[101].spans == ""
-    assert got[100].spans == "gram:4:26"
-    assert secret_grammar.op5_secrets(spark, empty).count() == 0
-
-
 def test_bpe(spark, docs, empty, texts, library):
     for i, r in by_id(bpe_lexicon.op6_bpe(spark, docs, word_bpe())).items():
         ids = library.encode(texts[i] or "", add_special_tokens=False).ids
