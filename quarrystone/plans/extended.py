@@ -49,7 +49,6 @@ def title_paths(s: SparkSession, d: str) -> DataFrame:
 
 
 def split_long(s: SparkSession, d: str) -> DataFrame:
-    """No SQL: DuckDB's patterns cannot look behind. A brute-force version tests it."""
     return _records(s, d).select("id", F.posexplode(structure.split_long(F.col("text"))).alias("piece", "body"))
 
 
@@ -108,6 +107,15 @@ SELECT f.id, f.r - r0 AS row, string_agg(coalesce(v::VARCHAR, ''), ',' ORDER BY
 p AS (SELECT id, ordinal, i, CASE WHEN level IS NULL THEN []::VARCHAR[] ELSE [title] END AS path FROM b WHERE i = 1
   UNION ALL SELECT b.id, b.ordinal, b.i, CASE WHEN level IS NULL THEN path ELSE list_concat(path[1:level - 1], [title]) END FROM p JOIN b ON b.id = p.id AND b.i = p.i + 1)
 SELECT id, ordinal, array_to_string(path, '/') AS path FROM p""",
+    "split_long": """WITH RECURSIVE d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT id, list_filter(string_split(regexp_replace(regexp_replace(text, '([。！？!?；;.])\\s*', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM d WHERE length(text) > 384),
+s AS MATERIALIZED (SELECT id, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS n FROM l),
+f AS (SELECT id, 0::BIGINT AS n, []::VARCHAR[] AS done, '' AS o FROM l
+  UNION ALL SELECT f.id, s.n, CASE WHEN length(CASE WHEN o = '' THEN t ELSE o || chr(10) || t END) <= 384 THEN done WHEN length(t) <= 384 THEN CASE WHEN o = '' THEN done ELSE list_append(done, o) END
+      ELSE list_concat(CASE WHEN o = '' THEN done ELSE list_append(done, o) END, list_transform(range(0, length(t), 336), lambda k: substring(t, k + 1, 384))) END,
+    CASE WHEN length(CASE WHEN o = '' THEN t ELSE o || chr(10) || t END) <= 384 THEN CASE WHEN o = '' THEN t ELSE o || chr(10) || t END WHEN length(t) <= 384 THEN t ELSE '' END FROM f JOIN s ON s.id = f.id AND s.n = f.n + 1),
+z AS (SELECT id, CASE WHEN o = '' THEN done ELSE list_append(done, o) END AS p FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC) = 1)
+SELECT id, unnest(range(len(p)))::INTEGER AS piece, unnest(p) AS body FROM z UNION ALL SELECT id, 0, text FROM d WHERE length(text) <= 384""",
     "smallest_container": f"""WITH {_LINES}, b AS (SELECT l_orderkey, place, (l_linenumber - 1) * 0.05::DOUBLE AS x0, l_discount AS y0, (l_linenumber - 1) * 0.05::DOUBLE + l_quantity / 50 AS x1, l_discount + 0.05::DOUBLE + l_tax * 5 AS y1 FROM lines),
 m AS (SELECT c.l_orderkey, c.place, p.place AS parent, row_number() OVER (PARTITION BY c.l_orderkey, c.place ORDER BY {_AREA.format("p")}, p.place) AS best
   FROM b c JOIN b p ON c.l_orderkey = p.l_orderkey AND c.place <> p.place

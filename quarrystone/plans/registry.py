@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions.text import compact, html_text, inner, lexical_tokens, normalized
 from quarrystone.operators import records as R
 from quarrystone.operators import retrieval as Q
+from quarrystone.operators import summary as M
 
 _NORM = "trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '\\s+', ' ', 'g'))"
 _TOKENS = f"regexp_extract_all({_NORM}, '[a-z0-9]+(?:[-_.:/][a-z0-9]+)*')"
@@ -72,18 +73,16 @@ def retrieval_metrics(s, d):
     return Q.metrics(exact_phrase(s, d), Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 10))
 
 
+def _turns(s, d):
+    return _read(s, d, "conversations").withColumnRenamed("conv_id", "id")
+
+
 def neighbour_window(s, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return _read(s, d, "conversations").select(
-        "conv_id", "turn", F.lag("turn").over(w).alias("previous"), F.lead("turn").over(w).alias("next"), F.array_join(F.collect_list("text").over(w.rowsBetween(-1, 2)), "\n").alias("body")
-    )
+    return M.turn_windows(_turns(s, d)).withColumnRenamed("id", "conv_id")
 
 
 def nearest_context(s, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    user = F.when(F.col("role") == "user", F.col("turn"))
-    before, after = F.last(user, True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first(user, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return _read(s, d, "conversations").select("conv_id", "turn", "role", before.alias("before"), after.alias("after")).where("role <> 'user'")
+    return M.nearest_marked(_turns(s, d), F.col("role") == "user").where("role <> 'user'").select(F.col("id").alias("conv_id"), "turn", "role", "before", "after")
 
 
 def paragraphs(s, d):
@@ -105,30 +104,28 @@ def table_segments(s, d):
 
 
 def representatives(s, d):
-    return _records(s, d).groupBy(F.sha2("text", 256).alias("sha256")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return M.representatives(_records(s, d))
 
 
 def snapshot_changes(s, d):
-    now = _read(s, d, "documents").select(F.col("doc_id").alias("key"), F.lit(1).alias("digest"))
-    before = _read(s, d, "labels").select(F.col("doc_id").alias("key"), F.col("quality").cast("int").alias("digest"))
+    """The documents' texts now and in an earlier state, with some texts altered, missing or since gone."""
+    i, t = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    now = _read(s, d, "documents").where(i % 9 != 0).select(i.alias("key"), F.sha2(t, 256).alias("digest"))
+    before = _read(s, d, "documents").where(i % 8 != 0).select(i.alias("key"), F.sha2(F.when(i % 5 == 0, F.concat(t, F.lit(" "))).otherwise(t), 256).alias("digest"))
     return R.snapshot_changes(now, before)
 
 
 def document_counts(s, d):
-    return _read(s, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.count_if(F.length("text") >= 20).alias("n_long"), F.countDistinct(F.md5("text")).alias("n_texts"))
+    return M.document_counts(_read(s, d, "documents"), ["lang", "source"])
 
 
 def ocr_routing(s, d):
-    n = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))
-    g = _read(s, d, "documents").groupBy("source").agg(F.sum((n >= 20).cast("int")).alias("full"), F.sum(n).alias("chars"), F.count("*").alias("pages"))
-    return g.select("source", "full", "chars", "pages", ((F.col("full") * 2 < F.col("pages")) | (F.col("chars") < 20 * F.col("pages"))).alias("scan"))
+    return M.ocr_routes(_read(s, d, "documents"), "source")
 
 
 def latency_stats(s, d):
-    g = _read(s, d, "events").where("value IS NOT NULL").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 5).alias("mean"), F.round(F.percentile("value", 0.5), 5).alias("median"))
-    order = Window.partitionBy("event_type").orderBy("value")
-    placed = _read(s, d, "events").where("value IS NOT NULL").select("event_type", "value", F.row_number().over(order).alias("place"))
-    return g.join(placed, "event_type").where(F.col("place") == F.ceil(F.col("n") * 0.95)).select("event_type", "n", "mean", "median", F.round("value", 5).alias("p95"))
+    r = lambda c: F.round(c, 5).alias(c)
+    return M.timing_stats(_read(s, d, "events"), "event_type").select("event_type", "n", r("mean"), r("median"), F.round("p", 5).alias("p95"))
 
 
 def vector_integrity(s, d):
@@ -203,7 +200,8 @@ CASE WHEN ordinal < (length(text) - 1) // 336 THEN sha256(id || chr(0) || 'text'
     "table_segments": """WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS place, c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS line FROM customer)
 SELECT c_nationkey, place // 20 AS segment, count(*) AS n_rows, md5('Columns: c_custkey | c_name | c_mktsegment' || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS body_md5 FROM c GROUP BY c_nationkey, place // 20""",
     "representatives": f"SELECT sha256(text) AS sha256, min(id) AS id, count(*) AS n FROM {_DOCS} GROUP BY text",
-    "snapshot_changes": "SELECT coalesce(d.doc_id, l.doc_id) AS key, CASE WHEN l.quality IS NULL THEN 'added' WHEN d.doc_id IS NULL THEN 'removed' WHEN l.quality = 1 THEN 'unchanged' ELSE 'changed' END AS status FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
+    "snapshot_changes": """WITH n AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 9 <> 0), b AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE '' END AS t FROM documents WHERE doc_id % 8 <> 0)
+SELECT coalesce(n.doc_id, b.doc_id) AS key, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' WHEN n.t = b.t THEN 'unchanged' ELSE 'changed' END AS status FROM n FULL JOIN b ON n.doc_id = b.doc_id""",
     "document_counts": "SELECT lang, source, count(*) AS n, count_if(length(text) >= 20) AS n_long, count(DISTINCT text) AS n_texts FROM documents GROUP BY lang, source",
     "ocr_routing": r"""WITH g AS (SELECT source, length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) AS n FROM documents),
 a AS (SELECT source, sum(CASE WHEN n >= 20 THEN 1 ELSE 0 END)::BIGINT AS "full", sum(n)::BIGINT AS chars, count(*) AS pages FROM g GROUP BY source) SELECT *, "full" * 2 < pages OR chars < 20 * pages AS scan FROM a""",
@@ -217,12 +215,12 @@ FROM events WHERE value IS NOT NULL GROUP BY event_type""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from quarrystone.plans import extended
+    from quarrystone.plans import answers, extended, hits, layout
 
-    return {name: globals()["lexical" if name == "lexical_tokens" else name] for name in _SQL} | extended.queries()
+    return {name: globals()["lexical" if name == "lexical_tokens" else name] for name in _SQL} | extended.queries() | answers.queries() | hits.queries() | layout.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from quarrystone.plans import extended
+    from quarrystone.plans import answers, extended, hits, layout
 
-    return _SQL | extended.oracle_sql()
+    return _SQL | extended.oracle_sql() | answers.oracle_sql() | hits.oracle_sql() | layout.oracle_sql()
