@@ -44,6 +44,8 @@ TREES, DEPTH, FLOOR = 20, 8, 4
 REGION = 24
 #: Members of a saturated region that are compared at once.
 BLOCK = 512
+#: Regions whose sizes, hubs and main components are broadcast to the members.
+REGIONS = 200_000
 #: Shingles of all members that are compared at once, on average.
 BLOCK_SHINGLES = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(7))
@@ -152,6 +154,12 @@ def forest_regions(shared: np.ndarray, region: int = REGION) -> Iterator[tuple[i
         todo.extend((int(p), int(q), depth + 1) for p, q in zip(edges[:-1], edges[1:], strict=True) if q - p > 1) if depth + 1 <= DEPTH else None
 
 
+def _with_region(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """rows with what regions (one row a region) say of theirs: by broadcast up to REGIONS of them, so that no region's rows meet in one task."""
+    small = regions.limit(REGIONS + 1).count() <= REGIONS
+    return rows.join(F.broadcast(regions) if small else regions, ["tree", "hi", "lo"])
+
+
 def candidates(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs a < b of class representatives that the forest proposes, and the members of saturated regions."""
     orders = _orders(reps).repartitionByRange("tree", "hi", "lo", "id").sortWithinPartitions("tree", "hi", "lo", "id")
@@ -203,10 +211,10 @@ def candidates(reps: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
     found = stored(orders.mapInArrow(run, "a long, b long, tree int, hi long, lo long"), "forest")
     pairs = found.where("b IS NOT NULL").select("a", "b")
     large = found.where("b IS NULL").select(F.col("a").alias("id"), "tree", "hi", "lo")
-    sizes = large.groupBy("tree", "hi", "lo").agg(F.count("*").alias("n"))
-    weight = large.join(sizes, ["tree", "hi", "lo"]).groupBy("id").agg(F.sum("n").alias("w"))
+    sizes = stored(large.groupBy("tree", "hi", "lo").agg(F.count("*").alias("n")), "region-sizes")
+    weight = _with_region(large, sizes).groupBy("id").agg(F.sum("n").alias("w"))
     hubs = large.join(weight, "id").groupBy("tree", "hi", "lo").agg(F.max(F.struct("w", "id")).getField("id").alias("hub"))
-    to_hub = large.join(hubs, ["tree", "hi", "lo"]).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    to_hub = _with_region(large, stored(hubs, "hubs")).where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     return pairs.unionByName(to_hub).distinct(), large
 
 
@@ -272,7 +280,7 @@ def across(large: DataFrame, found: DataFrame, reps: DataFrame, sets: DataFrame,
     split = part.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total"), F.sum("s").alias("s")).where("top.n < total")
     count = lambda n: F.greatest(F.ceil(n / block), F.ceil(F.col("s") * n / F.col("total") / BLOCK_SHINGLES))
     split = split.select(*key, F.col("top.component").alias("main"), count(F.col("total")).alias("blocks"), count(F.col("total") - F.col("top.n")).alias("parts"))
-    member = stored(member.join(split, key), "members")
+    member = stored(_with_region(member, stored(split, "split")), "members")
     held = [*key, "id", "component", "trees", "grams", "p", "q"]
     whole = member.join(reps.select("id", "trees"), "id").join(sets, "id")
     own, every = F.xxhash64("id"), lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
