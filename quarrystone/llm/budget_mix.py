@@ -33,7 +33,7 @@ BUCKET_BITS = 8
 #: Bits of memory for the states that a dynamic programme holds at once.
 HELD_BITS = 1 << 29
 #: Lengths (a row for each source and length) up to which the plan is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def water_fill(sizes: list[int], weights: list[float], share: float = SHARE, most: float = 2.0) -> list[float]:
