@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ from quarrystone.llm.word_ids import WordIds
 LEXICON_WORDS = 1 << 16
 #: Words that a task counts before it emits them.
 COUNTED = 200_000
+#: Pieces whose ids are kept from one batch to the next, besides the words'.
+KNOWN = 100_000
 #: White space as the tokenizer's patterns take it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -45,6 +48,7 @@ LATIN = regex.compile("[\\x00-\u00ff]*")
 SHORT = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 RUN = regex.compile("L+|N|P+|S+")
 HEAD = struct.Struct("<8sIIII")
+NO_PAIR = 1 << 62
 MAGIC = b"QSMAT001"
 
 
@@ -82,13 +86,16 @@ class Bpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.rank = {p: k for k, p in enumerate(pairs)}
+        # a pair of ids as one number -> its rank, then the id that it becomes
+        vocab = self.vocab
+        self.pair = {vocab[a] << 32 | vocab[b]: k << 32 | vocab[a + b] for k, (a, b) in enumerate(pairs)}
+        symbols = byte_symbols()
+        self.byte, self.last = [vocab[c] for c in symbols], [vocab[c + self.suffix] for c in symbols]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.heads = {s[0] for s in self.special}
         tokens = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.special.items()}
         self.tokens = [tokens.get(k, "") for k in range(max(tokens) + 1)]
-        self.symbols = byte_symbols()
 
     def pieces(self, part: str) -> list[str]:
         """Normalised pieces of a text without white space and special strings."""
@@ -121,37 +128,35 @@ class Bpe:
         return out + self.pieces(part[at:])
 
     def merge(self, piece: bytes) -> list[int]:
-        word = [self.symbols[b] for b in piece]
-        word[-1] += self.suffix
-        get, none = self.rank.get, len(self.rank)
+        word = [*map(self.byte.__getitem__, piece[:-1]), self.last[piece[-1]]]
+        get = self.pair.get
         if len(word) > 64:
-            word = self._merge_long(word)
-        else:
-            ranks = [get(p, none) for p in zip(word, word[1:], strict=False)]
-            while ranks:
-                best = min(ranks)
-                if best == none:
-                    break
-                k = ranks.index(best)
-                word[k] += word[k + 1]
-                del word[k + 1], ranks[k]
-                if k:
-                    ranks[k - 1] = get((word[k - 1], word[k]), none)
-                if k < len(ranks):
-                    ranks[k] = get((word[k], word[k + 1]), none)
-        return [self.vocab[w] for w in word]
-
-    def _merge_long(self, word: list[str]) -> list[str]:
+            return self._merge_long(word)
+        best_of = [get(a << 32 | b, NO_PAIR) for a, b in zip(word, word[1:], strict=False)]
+        while best_of:
+            best = min(best_of)
+            if best == NO_PAIR:
+                break
+            k = best_of.index(best)
+            word[k] = best & 0xFFFFFFFF
+            del word[k + 1], best_of[k]
+            if k:
+                best_of[k - 1] = get(word[k - 1] << 32 | word[k], NO_PAIR)
+            if k < len(best_of):
+                best_of[k] = get(word[k] << 32 | word[k + 1], NO_PAIR)
+        return word
+
+    def _merge_long(self, word: list[int]) -> list[int]:
         """All places of the best pair in one pass: no pair that a merge makes has a lower rank than it."""
-        get, none = self.rank.get, len(self.rank)
+        get = self.pair.get
         while len(word) > 1:
-            best = min(zip(word, word[1:], strict=False), key=lambda p: get(p, none))
-            if best not in self.rank:
+            best, pair = min((get(p, NO_PAIR), p) for p in {a << 32 | b for a, b in zip(word, word[1:], strict=False)})
+            if best == NO_PAIR:
                 break
-            (a, b), out, k = best, [], 0
+            a, b, made, out, k = pair >> 32, pair & 0xFFFFFFFF, best & 0xFFFFFFFF, [], 0
             while k < len(word):
                 if k + 1 < len(word) and word[k] == a and word[k + 1] == b:
-                    out.append(a + b)
+                    out.append(made)
                     k += 2
                 else:
                     out.append(word[k])
@@ -258,17 +263,19 @@ class Encoder:
     def __init__(self, tokenizer: str, lexicon: str | None):
         self.bpe, self.lexicon = Bpe(tokenizer), Lexicon(lexicon) if lexicon else None
         self.words = WordIds(self._resolve)
+        self.known: dict[str | int, bytes] = {}
 
     def _word(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
             return struct.pack("<I", piece)
         raw = piece.encode("utf-8")
         got = self.lexicon.get(raw) if self.lexicon else None
-        return np.array(self.bpe.merge(raw), "<u4").tobytes() if got is None else got
+        return array("I", self.bpe.merge(raw)).tobytes() if got is None else got
 
     def _resolve(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        known: dict[str | int, bytes] = {}
-        out = []
+        known, out = self.known, []
+        if len(known) > KNOWN:
+            known.clear()
         for part in words.to_pylist():
             ids = []
             for p in self.bpe.parts(part):
