@@ -19,11 +19,17 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, size: int = 384, overlap: int = 48) -> DataFrame:
-    """Overlapping windows of a text, with record ids and links to the neighbours. No shuffle but for the links' order."""
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(size - overlap))
-    rows = docs.where(n > 0).select("id", F.posexplode(starts).alias("ordinal", "start"), "text")
-    rows = rows.select("id", "ordinal", F.expr(f"substring(text, start + 1, {size})").alias("body"), F.floor((F.length("text") - 1) / (size - overlap)).cast("int").alias("last"))
+    """Overlapping windows of a text, with record ids and links to the neighbours, without a shuffle.
+
+    A text is cut once into steps, in time linear in its length; a window is its step and the beginning of what follows."""
+    step = size - overlap
+    more = -(-overlap // step)
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    window = lambda steps: F.transform(steps, lambda c, k: F.concat(c, F.substring(F.array_join(F.slice(steps, k + 2, F.lit(more)), ""), 1, overlap)))
+    # bound: a column would be cut anew for every window
+    bodies = F.get(F.transform(F.array(cut), window), F.lit(0))
+    rows = docs.where(F.length("text") > 0).select("id", F.length("text").alias("n"), F.posexplode(bodies).alias("ordinal", "body"))
+    rows = rows.select("id", "ordinal", "body", F.floor((F.col("n") - 1) / step).cast("int").alias("last"))
     key = lambda k: content_hash(F.col("id").cast("string"), F.lit("text"), k.cast("string"))
     o = F.col("ordinal")
     return rows.select(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,16 +17,21 @@ VECTOR_WEIGHT, KEYWORD_WEIGHT, EXACT_WEIGHT = 1.0, 0.35, 0.75
 MIN_RAW = 0.40
 
 
-def bm25(records: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25(records: DataFrame, queries: DataFrame, most: int = 500_000) -> DataFrame:
     """records: id, text; queries: query_id, text -> query_id, id, score.
 
-    Only tokens that a query has are shuffled: the statistics and postings of all others are filtered out by a semi join."""
-    docs = records.select("id", lexical_tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
+    Tokens are made once: each record adds one empty token to its postings, which carries its length into the totals. Only tokens
+    that a query has are kept. Up to ``most`` query tokens, they and their weights are broadcast, so that no token's postings meet in one task."""
     wanted = queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = docs.select("id", "len", F.explode("tokens").alias("token")).join(wanted.select("token").distinct(), "token", "left_semi").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "token").join(wanted, "token").crossJoin(F.broadcast(totals))  # totals is one row
+    small = wanted.limit(most + 1).count() <= most
+    keep = wanted.select("token").distinct().unionByName(records.sparkSession.createDataFrame([("",)], "token string"))
+    docs = records.select("id", lexical_tokens(F.col("text")).alias("tokens"))
+    each = docs.select("id", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(""))).alias("token"))
+    tf = each.join(F.broadcast(keep) if small else keep, "token", "left_semi").groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    by_token = tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("len").alias("all_len"))
+    total = by_token.where("token = ''").select(F.col("df").alias("n_docs"), (F.col("all_len") / F.col("df")).alias("avg_len"))
+    weighted = wanted.join(by_token.select("token", "df"), "token").crossJoin(F.broadcast(total))  # total is one row
+    rows = tf.join(F.broadcast(weighted) if small else weighted, "token")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return rows.groupBy("query_id", "id").agg(F.sum(idf * weight * F.col("qf")).alias("score"))
@@ -50,13 +59,40 @@ def exact_phrases(records: DataFrame, queries: DataFrame) -> DataFrame:
     return long.unionByName(short)
 
 
-def vector_topk(records: DataFrame, queries: DataFrame, k: int, block: int = 64) -> DataFrame:
-    """records: id, vector; queries: query_id, vector -> query_id, id, raw, vector_rank by exact inner product.
-
-    Queries meet the records in blocks; the window's group limit keeps k rows a query and task before the shuffle."""
-    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(block)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-    pairs = records.crossJoin(blocks).select("id", F.col("vector").alias("v"), F.explode("qs").alias("q"))
-    return ranked(pairs.select("q.query_id", "id", inner(F.col("v"), F.col("q.vector")).alias("raw")), k, "raw", "vector_rank")
+def inner_products(records: DataFrame, queries: DataFrame, k: int | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """records: id, vector; queries: query_id, vector -> query_id, id, raw, the inner product in double precision.
+
+    Queries of up to most_bytes in all go to every task as one matrix, and each batch of records is one matrix product; with k, only what can be
+    among a batch's k best of a query leaves it. More queries meet the records in a join of blocks."""
+    slim = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    size = slim.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] * 8
+    if size > most_bytes:
+        blocks = slim.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(size) / F.lit(1 << 20))).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
+        pairs = records.join(blocks).select("id", F.col("vector").alias("v"), F.explode("qs").alias("q"))
+        return pairs.select("q.query_id", "id", inner(F.col("v"), F.col("q.vector")).alias("raw"))
+    held = slim.collect()
+    names, matrix = [r.query_id for r in held], np.array([r.vector for r in held], np.float64)
+    kinds = [dict(d.dtypes)[c] for d, c in ((slim, "query_id"), (records, "id"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for b in batches:
+            if not b.num_rows or not names:
+                continue
+            own = pa.array(names) if own is None else own
+            vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            raw = matrix @ vectors.T
+            # ties are broken later: everything that rounds to the least of the k best goes on
+            least = np.partition(raw, -k, axis=1)[:, -k, None] - 1e-8 if k and k < b.num_rows else -np.inf
+            q, r = np.nonzero(raw >= least)
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(q)), b.column(0).take(pa.array(r)), pa.array(raw[q, r])], names=["query_id", "id", "raw"])
+
+    return records.where("vector IS NOT NULL").select("id", "vector").mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, raw double")
+
+
+def vector_topk(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """records: id, vector; queries: query_id, vector -> query_id, id, raw, vector_rank by exact inner product."""
+    return ranked(inner_products(records, queries, k), k, "raw", "vector_rank")
 
 
 def fuse(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:

@@ -9,7 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import inner
 from quarrystone.operators import ranking as K
 from quarrystone.operators import records as R
 from quarrystone.operators import retrieval as Q
@@ -32,8 +31,8 @@ def keyword_ranks(s: SparkSession, d: str) -> DataFrame:
 
 def _pairs(s, d, records):
     """All records against every hundredth one: raw scores."""
-    q = _vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    return records.join(F.broadcast(q)).select("*", inner(F.col("vector"), F.col("q")).alias("raw")).drop("vector", "q")
+    q = _vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    return Q.inner_products(records, q).join(records.drop("vector"), "id")
 
 
 def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
@@ -48,8 +47,8 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
 def _candidates(s, d):
     """Vector and keyword hits of a query's record, keyword-only ones with their raw scores."""
     v = _vectors(s, d).select("id", "vector")
-    q = _items(s, d).join(v, F.col("query_id") == F.col("id")).select("query_id", F.col("vector").alias("q"))
-    raw = v.join(F.broadcast(q)).select("query_id", "id", inner(F.col("vector"), F.col("q")).alias("raw"))
+    q = _items(s, d).join(v, F.col("query_id") == F.col("id")).select("query_id", "vector")
+    raw = Q.inner_products(v, q)
     near = K.vector_ranks(raw.select("*", F.col("id").alias("position"), _modality(F.col("id")).alias("modality")), 10).select("query_id", "id", "vector_rank")
     words = K.keyword_ranks(_keyword(s, d), 10).select("query_id", "id", "keyword_rank", "exact")
     both = near.join(words, ["query_id", "id"], "full_outer").join(raw, ["query_id", "id"])
@@ -78,8 +77,8 @@ def text_rerank(s: SparkSession, d: str) -> DataFrame:
 def variant_interleave(s: SparkSession, d: str) -> DataFrame:
     """Three variants of every hundredth vector as query: itself and its two successors; equal residues count as equal contents."""
     v = _vectors(s, d)
-    q = v.where("id % 100 < 3").select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
-    raw = v.join(F.broadcast(q)).select("query_id", "id", inner(F.col("vector"), F.col("q")).alias("raw"))
+    q = v.where("id % 100 < 3").select(F.col("id").alias("query_id"), "vector")
+    raw = Q.inner_products(v, q, 30)
     ranked = Q.ranked(raw, 30, "raw").select((F.col("query_id") - F.col("query_id") % 100).alias("query_id"), (F.col("query_id") % 100).alias("variant"), "id", "rank", "raw", (F.col("id") % 150).alias("key"))
     best = ranked.groupBy("query_id", "id", "key").agg(F.max("raw").alias("raw"))
     return K.interleave_variants(ranked, Q.ranked(best, 30, "raw"), 10)
