@@ -37,9 +37,7 @@ from quarrystone.llm.word_ids import WordIds
 
 LEXICON_WORDS = 1 << 16
 #: Words that a task counts before it emits them.
-COUNTED = 200_000
-#: Pieces whose ids are kept from one batch to the next, besides the words'.
-KNOWN = 100_000
+COUNTED = 100_000
 #: White space as the tokenizer's patterns take it (Unicode White_Space).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -263,7 +261,6 @@ class Encoder:
     def __init__(self, tokenizer: str, lexicon: str | None):
         self.bpe, self.lexicon = Bpe(tokenizer), Lexicon(lexicon) if lexicon else None
         self.words = WordIds(self._resolve)
-        self.known: dict[str | int, bytes] = {}
 
     def _word(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
@@ -273,9 +270,8 @@ class Encoder:
         return array("I", self.bpe.merge(raw)).tobytes() if got is None else got
 
     def _resolve(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        known, out = self.known, []
-        if len(known) > KNOWN:
-            known.clear()
+        known: dict[str | int, bytes] = {}
+        out = []
         for part in words.to_pylist():
             ids = []
             for p in self.bpe.parts(part):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -65,15 +66,26 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, so that workers that wait hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that Python holds few long texts at once."""
+    _give_back()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    _give_back()
 
 
-def by_chars(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_chars(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column (of strings) holds at most about size bytes, or of one row."""
+    _give_back()
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
@@ -81,6 +93,7 @@ def by_chars(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 4 <
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, stop - at)
             at = stop
+    _give_back()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

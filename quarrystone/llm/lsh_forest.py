@@ -57,7 +57,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 class Shingler:
     """Hashed sets of word shingles; word hashes are kept in a bounded table."""
 
-    def __init__(self, width: int = SHINGLE, keep: int = 500_000):
+    def __init__(self, width: int = SHINGLE, keep: int = 120_000):
         self.width, self.keep, self.known = width, keep, {}
 
     def __call__(self, text: str) -> np.ndarray:
