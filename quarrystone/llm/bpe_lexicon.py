@@ -5,7 +5,8 @@ LEXICON_WORDS of them, are encoded by exact merging and compiled into a minimal
 equal suffixes are shared. Its arcs carry numbers that add up to a word's place in the lexicon, and
 that place to its ids, which makes it a transducer from words to ids. It is one flat file in the shared
 folder; workers map it into memory (or, from a store without mapping, read it into one buffer).
-Unseen words are merged exactly: the pair of lowest rank first, the leftmost of equals.
+Unseen words are merged exactly: the pair of lowest rank first, the leftmost of equals. The words that a batch adds
+walk the automaton together, a byte a step, and those it lacks are merged together, a pair a step.
 
 The steps follow the tokenizer file: special strings are cut out first, then NFC, lower case by
 character, and the pattern of the Split pre-tokenizer; no piece crosses white space, so texts are
@@ -21,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import by_chars, file_system, id_text, in_slices, shared_path, stored
-from quarrystone.llm.word_ids import WordIds
+from quarrystone.llm.word_ids import WordIds, gather
 
 LEXICON_WORDS = 1 << 16
 #: Words that a task counts before it emits them.
@@ -47,6 +47,8 @@ SHORT = regex.compile("'(?:s|t|re|ve|m|ll|d)")
 RUN = regex.compile("L+|N|P+|S+")
 HEAD = struct.Struct("<8sIIII")
 NO_PAIR = 1 << 62
+#: Bytes of the longest word that is merged together with others, and words merged at once.
+ROW, ROWS = 64, 1 << 14
 MAGIC = b"QSMAT001"
 
 
@@ -87,14 +89,21 @@ class Bpe:
         # a pair of ids as one number -> its rank, then the id that it becomes
         vocab = self.vocab
         self.pair = {vocab[a] << 32 | vocab[b]: k << 32 | vocab[a + b] for k, (a, b) in enumerate(pairs)}
+        self.pair_keys = np.array(sorted(self.pair), np.int64)
+        self.pair_ranks = np.array([self.pair[k] for k in self.pair_keys.tolist()], np.int64)
         symbols = byte_symbols()
         self.byte, self.last = [vocab[c] for c in symbols], [vocab[c + self.suffix] for c in symbols]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.heads = {s[0] for s in self.special}
+        self.letters = not any(h.isascii() and h.isalpha() for h in self.heads)
         tokens = {k: t for t, k in self.vocab.items()} | {k: t for t, k in self.special.items()}
         self.tokens = [tokens.get(k, "") for k in range(max(tokens) + 1)]
 
+    def plain(self, words: pa.Array) -> pa.Array:
+        """Which words are ASCII letters alone, so that their lower case is their one piece."""
+        return pc.and_(pc.ascii_is_alpha(words), self.letters)
+
     def pieces(self, part: str) -> list[str]:
         """Normalised pieces of a text without white space and special strings."""
         if not part:
@@ -128,7 +137,7 @@ class Bpe:
     def merge(self, piece: bytes) -> list[int]:
         word = [*map(self.byte.__getitem__, piece[:-1]), self.last[piece[-1]]]
         get = self.pair.get
-        if len(word) > 64:
+        if len(word) > ROW:
             return self._merge_long(word)
         best_of = [get(a << 32 | b, NO_PAIR) for a, b in zip(word, word[1:], strict=False)]
         while best_of:
@@ -162,6 +171,67 @@ class Bpe:
             word = out
         return word
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pairs = a << 32 | b
+        if not len(self.pair_keys):
+            return np.full(pairs.shape, NO_PAIR)
+        at = np.minimum(np.searchsorted(self.pair_keys, pairs), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == pairs, self.pair_ranks[at], NO_PAIR)
+
+    def merge_all(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As merge, of all words (runs of data): their ids one after another, and how many each has."""
+        flat, counts = [], []
+        for at in range(0, len(starts), ROWS):
+            ids, n = self._merge_rows(data, starts[at : at + ROWS], sizes[at : at + ROWS])
+            flat.append(ids)
+            counts.append(n)
+        return np.concatenate([np.zeros(0, np.uint32), *flat]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the longest words on: at each step all words of n ids, n falling, are one matrix, and lose one id or are done."""
+        byte, last = np.array(self.byte, np.int64), np.array(self.last, np.int64)
+        done = [(np.array([k]), np.array([self.merge(data[starts[k] : starts[k] + sizes[k]].tobytes())])) for k in np.flatnonzero(sizes > ROW)]
+        short = sizes[sizes <= ROW]
+        n = int(short.max(initial=0))
+        which, ids, best = np.zeros(0, np.int64), np.zeros((0, n), np.int64), np.zeros((0, max(n - 1, 0)), np.int64)
+        for n in range(n, 0, -1):  # noqa: B020, PLR1704
+            new = np.flatnonzero(sizes == n)
+            if len(new):
+                raw = data[starts[new][:, None] + np.arange(n)]
+                more = byte[raw]
+                more[:, -1] = last[raw[:, -1]]
+                which, ids = np.concatenate([which, new]), np.concatenate([ids, more])
+                best = np.concatenate([best, self._ranks(more[:, :-1], more[:, 1:])])
+            if n == 1:
+                done.append((which, ids))
+                break
+            row = np.arange(len(which))
+            k = best.argmin(1)
+            v = best[row, k]
+            go = v != NO_PAIR
+            done.append((which[~go], ids[~go]))
+            which, ids, best, k, v = which[go], ids[go], best[go], k[go], v[go]
+            row = row[: len(which)]
+            ids[row, k] = v & 0xFFFFFFFF
+            stay = np.ones(ids.shape, bool)
+            stay[row, k + 1] = False
+            ids = ids[stay].reshape(len(row), n - 1)
+            stay = np.ones(best.shape, bool)
+            stay[row, k] = False
+            best = best[stay].reshape(len(row), n - 2)
+            r, c = row[k > 0], k[k > 0]
+            best[r, c - 1] = self._ranks(ids[r, c - 1], ids[r, c])
+            r, c = row[k < n - 2], k[k < n - 2]
+            best[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
+        counts = np.zeros(len(sizes), np.int64)
+        for which, ids in done:
+            counts[which] = ids.shape[1]
+        first = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        for which, ids in done:
+            flat[first[which][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, counts
+
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """The automaton file of words and their ids (built from sorted words, minimised on the way)."""
@@ -223,6 +293,7 @@ class Lexicon:
         else:
             with fs.open_input_file(at) as f:
                 data = memoryview(f.read_buffer())
+        data = data.cast("B")  # Arrow's own bytes are signed
         magic, n, arcs, words, self.root = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a lexicon")
@@ -234,6 +305,8 @@ class Lexicon:
         total = self.ends[words]
         self.ids = data[at : at + 4 * total]
         self.labels = data[at + 4 * total :]
+        #: State and label of each arc as one number, rising.
+        self.keys = np.repeat(np.arange(n) << 8, np.diff(np.asarray(self.first).astype(np.int64))) | np.asarray(self.labels)[:arcs]
 
     def get(self, word: bytes) -> bytes | None:
         """The word's ids as little-endian 32-bit integers; None if the lexicon lacks it."""
@@ -254,6 +327,23 @@ class Lexicon:
             return None
         return bytes(self.ids[4 * self.ends[place] : 4 * self.ends[place + 1]])
 
+    def places(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places of all words (runs of data); -1 if the lexicon lacks a word."""
+        target, skip = np.asarray(self.target), np.asarray(self.skip)
+        state, place = np.full(len(starts), self.root, np.int64), np.zeros(len(starts), np.int64)
+        alive, i = np.arange(len(starts)), 0
+        while len(alive := alive[sizes[alive] > i]):
+            want = state[alive] << 8 | data[starts[alive] + i]
+            a = np.searchsorted(self.keys, want)
+            found = a < len(self.keys)
+            found[found] = self.keys[a[found]] == want[found]
+            place[alive[~found]] = -1
+            alive, a = alive[found], a[found]
+            place[alive] += skip[a]
+            state[alive] = target[a]
+            i += 1
+        return np.where((place >= 0) & (np.asarray(self.final)[state] > 0), place, -1)
+
 
 class Encoder:
     """Texts to ids by lexicon and merging."""
@@ -262,25 +352,38 @@ class Encoder:
         self.bpe, self.lexicon = Bpe(tokenizer), Lexicon(lexicon) if lexicon else None
         self.words = WordIds(self._resolve)
 
-    def _word(self, piece: str | int) -> bytes:
-        if isinstance(piece, int):
-            return struct.pack("<I", piece)
-        raw = piece.encode("utf-8")
-        got = self.lexicon.get(raw) if self.lexicon else None
-        return array("I", self.bpe.merge(raw)).tobytes() if got is None else got
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after another, and how many each has."""
+        pieces = pa.concat_arrays([pieces, pa.array([], pa.large_string())])
+        _, ends, data = pieces.buffers()
+        ends = np.frombuffer(ends, np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        starts, sizes = ends[:-1], np.diff(ends)
+        if self.lexicon is None:
+            return self.bpe.merge_all(data, starts, sizes)
+        place = self.lexicon.places(data, starts, sizes)
+        new = np.flatnonzero(place < 0)
+        ids, counts = self.bpe.merge_all(data, starts[new], sizes[new])
+        known, ends = np.frombuffer(self.lexicon.ids, "<u4"), np.asarray(self.lexicon.ends).astype(np.int64)
+        first, n = ends[place], ends[place + 1] - ends[place]
+        first[new], n[new] = len(known) + np.cumsum(counts) - counts, counts
+        return gather(np.concatenate([known, ids]), first, n), n
 
     def _resolve(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        known: dict[str | int, bytes] = {}
-        out = []
-        for part in words.to_pylist():
-            ids = []
-            for p in self.bpe.parts(part):
-                got = known.get(p)
-                if got is None:
-                    got = known[p] = self._word(p)
-                ids.append(got)
-            out.append(b"".join(ids))
-        return words, np.frombuffer(b"".join(out), "<u4"), np.array([len(x) // 4 for x in out], np.int64)
+        plain = self.bpe.plain(words)
+        easy, odd = words.filter(plain), words.filter(pc.invert(plain))
+        parts = list(map(self.bpe.parts, odd.to_pylist()))
+        items = [p for part in parts for p in part]
+        coded = pc.dictionary_encode(pa.concat_arrays([pc.ascii_lower(easy), pa.array(["" if isinstance(p, int) else p for p in items], pa.large_string())]))
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, counts = self._ids(coded.dictionary)
+        special = [k for k, p in enumerate(items) if isinstance(p, int)]
+        index[np.array(special, np.int64) + len(easy)] = len(counts) + np.arange(len(special))
+        ids = np.concatenate([ids, np.array([items[k] for k in special], np.uint32)])
+        counts = np.concatenate([counts, np.ones(len(special), np.int64)])
+        first, sizes = (np.cumsum(counts) - counts)[index], counts[index]
+        stops = np.concatenate([[0], np.cumsum(sizes[len(easy) :])])[np.cumsum([0, *map(len, parts)])]
+        return pa.concat_arrays([easy, odd]), gather(ids, first, sizes), np.concatenate([sizes[: len(easy)], np.diff(stops)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where those of each text stop."""
@@ -311,22 +414,30 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
     """word, n over all documents. Each task counts in a bounded table and emits it whenever that is full."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, words = Bpe(tokenizer), Counter()
+        bpe, kept, rows = Bpe(tokenizer), [], 0
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8") for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-            words.clear()
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            if kept:
+                found = pa.concat_tables(kept).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+                kept.clear()
+                yield from found.combine_chunks().to_batches()
 
         for b in by_chars(batches):
             found = pc.value_counts(pc.ascii_split_whitespace(b.column(1)).flatten())
-            for part, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
-                for p in bpe.parts(part):
+            part, n = found.field(0), found.field(1)
+            plain = bpe.plain(part)
+            odd, words = pc.invert(plain), Counter()
+            for x, c in zip(part.filter(odd).to_pylist(), n.filter(odd).to_pylist(), strict=True):
+                for p in bpe.parts(x):
                     if isinstance(p, str):
-                        words[p] += n
-            if len(words) > COUNTED:
-                yield flush()
-        yield flush()
+                        words[p] += c
+            for w, c in ((pc.ascii_lower(part.filter(plain)), n.filter(plain)), (pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()))):
+                kept.append(pa.table({"word": w.cast(pa.binary()), "n": c}))
+                rows += len(w)
+            if rows > COUNTED:
+                yield from flush()
+                rows = 0
+        yield from flush()
 
     return id_text(docs).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

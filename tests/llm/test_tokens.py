@@ -75,3 +75,33 @@ def test_lexicon_finds_its_words_and_no_others(tmp_path):
         assert (got is None) == (w not in entries)
         if got:
             assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == entries[w]
+
+
+def test_words_are_looked_up_and_merged_together(tmp_path):
+    """Words of a batch at once as one by one, of all lengths around those that share a matrix, with and without a lexicon."""
+    import numpy as np
+
+    r, bpe, library = random.Random(3), Bpe(word_bpe()), Tokenizer.from_file(word_bpe())
+    words = ["".join(r.choices("etaoinsh,.'é7", k=r.choice([1, 2, 3, 5, 9, 20, 63, 64, 65, 200]))).encode() for _ in range(3000)] + [b"a" * 64, b"e" * 65]
+    sizes = np.array([len(w) for w in words])
+    data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+    ids, counts = bpe.merge_all(data, starts, sizes)
+    want = [bpe.merge(w) for w in words]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(bpe.merge_all(data, starts[:0], sizes[:0])[0]) == 0
+
+    known = sorted(set(words[::3]))
+    path = tmp_path / "lex"
+    path.write_bytes(compile_lexicon({w: bpe.merge(w) for w in known}))
+    lexicon = Lexicon(str(path))
+    assert lexicon.places(data, starts, sizes).tolist() == [known.index(w) if w in known else -1 for w in words]
+    path.write_bytes(compile_lexicon({}))
+    assert set(Lexicon(str(path)).places(data, starts, sizes).tolist()) == {-1}
+
+    texts = random_texts(4, 2000) + [w.decode(errors="replace") for w in words]
+    pieces = {p.encode() for t in texts[::2] for w in t.split() for p in bpe.parts(w) if isinstance(p, str)}
+    path.write_bytes(compile_lexicon({w: bpe.merge(w) for w in pieces}))
+    enc = Encoder(word_bpe(), str(path))
+    for at in range(0, len(texts), 700):
+        ids, stops = enc.encode(pa.array(texts[at : at + 700]))
+        assert [ids[a:z].tolist() for a, z in zip([0, *stops.tolist()], stops.tolist(), strict=False)] == [e.ids for e in library.encode_batch(texts[at : at + 700], add_special_tokens=False)]
