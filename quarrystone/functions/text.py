@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ CJK = "[一-鿿]+"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of the value, which is evaluated once, however often ``use`` names it and in whatever lambda: an expression that a lambda names
+    is otherwise evaluated anew for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalized(text: Column) -> Column:
     """Case-folded, with runs of white space as one blank. Folding is exact for Latin text."""
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"\s+", " "))

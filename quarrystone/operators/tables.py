@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.functions.text import bound
+
 
 def markdown_table(text: Column) -> Column:
     """struct(headers, rows) of a Markdown table; null with fewer than two lines that hold a pipe.
 
     Runs of pipes at the edges go, escaped pipes are unescaped, missing headers are named column_n, short rows are padded."""
     lines = F.filter(F.transform(F.split(text, r"\R"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit("|")))
-    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
-    ruled = F.forall(F.get(cells, F.lit(1)), lambda c: (c == "") | c.rlike("^:?-{3,}:?$"))
-    head = F.get(cells, F.lit(0))
-    body = F.slice(cells, F.when(ruled, 3).otherwise(2), F.greatest(F.size(cells), F.lit(1)))
-    width = F.array_max(F.transform(F.concat(F.array(head), body), lambda r: F.size(r)))
-    names = F.when(width > F.size(head), F.transform(F.sequence(F.size(head) + 1, F.greatest(width, F.size(head) + 1)), lambda k: F.concat(F.lit("column_"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
-    padded = F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    return F.when(F.size(cells) >= 2, F.struct(F.concat(head, names).alias("headers"), padded.alias("rows")))
+    split = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|"))))
+
+    def made(cells: Column) -> Column:
+        ruled = F.forall(F.get(cells, F.lit(1)), lambda c: (c == "") | c.rlike("^:?-{3,}:?$"))
+        head = F.get(cells, F.lit(0))
+        body = F.slice(cells, F.when(ruled, 3).otherwise(2), F.greatest(F.size(cells), F.lit(1)))
+        names = lambda width: F.when(width > F.size(head), F.transform(F.sequence(F.size(head) + 1, F.greatest(width, F.size(head) + 1)), lambda k: F.concat(F.lit("column_"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
+        padded = lambda width: F.transform(body, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        return bound(F.array_max(F.transform(F.concat(F.array(head), body), lambda r: F.size(r))), lambda width: F.struct(F.concat(head, names(width)).alias("headers"), padded(width).alias("rows")))
+
+    return bound(split, lambda cells: F.when(F.size(cells) >= 2, made(cells)))
 
 
 def dense_rows(cells: DataFrame) -> DataFrame:
