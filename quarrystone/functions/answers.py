@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import compact, normalized
+from quarrystone.functions.text import bound, compact, normalized
 
 # Question fragments that say nothing about the subject.
 QUESTION_PARTS = ("应该怎么", "怎么解决", "如何解决", "怎么处理", "如何处理", "怎么操作", "如何操作", "有哪些", "有什么", "是什么", "怎么办", "请问", "问题", "方法", "办法")
@@ -173,20 +173,30 @@ def normal_table(matrix: Column, native: Column) -> Column:
 
     Blank rows at both ends go, short rows are padded, a first row of one filled cell is the title. Two columns of native
     cells with distinct, filled names are fields and values."""
-    width = F.array_max(F.transform(matrix, lambda r: F.size(r)))
-    padded = F.transform(matrix, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    filled = F.transform(padded, lambda r: F.exists(r, lambda c: F.trim(c) != ""))
-    first, last = F.array_position(filled, True).cast("int"), (F.size(filled) + 1 - F.array_position(F.reverse(filled), True)).cast("int")
-    body = F.slice(padded, first, last - first + 1)
-    cells = F.filter(F.get(body, F.lit(0)), lambda c: F.trim(c) != "")
-    titled = (F.size(cells) == 1) & (width >= 2)
-    rows = F.when(titled, F.slice(body, 2, F.greatest(F.size(body), F.lit(1)))).otherwise(body)
-    names = F.transform(rows, lambda r: F.get(r, F.lit(0)))
-    pairs = native & (width == 2) & F.forall(names, lambda n: F.trim(n) != "") & (F.size(F.array_distinct(names)) == F.size(names))
-    headers = F.when(pairs, F.array(F.lit("Field"), F.lit("Value"))).otherwise(F.get(rows, F.lit(0)))
-    values = F.when(pairs, rows).otherwise(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))))
-    made = F.struct(F.when(titled, F.get(cells, F.lit(0))).otherwise("").alias("title"), headers.alias("headers"), values.alias("rows"))
-    return F.when((first > 0) & (F.size(rows) > 0), made)
+
+    def made(width: Column, rows: Column, titled: Column, title: Column) -> Column:
+        names = F.transform(rows, lambda r: F.get(r, F.lit(0)))
+        alike = bound(names, lambda n: F.forall(n, lambda x: F.trim(x) != "") & (F.size(F.array_distinct(n)) == F.size(n)))
+        shaped = lambda pairs: F.struct(
+            F.when(titled, title).otherwise("").alias("title"), F.when(pairs, F.array(F.lit("Field"), F.lit("Value"))).otherwise(F.get(rows, F.lit(0))).alias("headers"),
+            F.when(pairs, rows).otherwise(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1)))).alias("rows"),
+        )
+        return F.when(F.size(rows) > 0, bound(native & (width == 2) & alike, shaped))
+
+    def headed(width: Column, body: Column) -> Column:
+        cells = F.filter(F.get(body, F.lit(0)), lambda c: F.trim(c) != "")
+        rest = lambda titled: F.when(titled, F.slice(body, 2, F.greatest(F.size(body), F.lit(1)))).otherwise(body)
+        return bound((F.size(cells) == 1) & (width >= 2), lambda titled: bound(rest(titled), lambda rows: made(width, rows, titled, F.get(cells, F.lit(0)))))
+
+    def cut(width: Column, padded: Column, filled: Column) -> Column:
+        first, last = F.array_position(filled, True).cast("int"), (F.size(filled) + 1 - F.array_position(F.reverse(filled), True)).cast("int")
+        return F.when(F.array_position(filled, True) > 0, bound(F.slice(padded, first, last - first + 1), lambda body: headed(width, body)))
+
+    def padded(width: Column) -> Column:
+        rows = F.transform(matrix, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
+        return bound(rows, lambda p: bound(F.transform(p, lambda r: F.exists(r, lambda c: F.trim(c) != "")), lambda filled: cut(width, p, filled)))
+
+    return bound(F.array_max(F.transform(matrix, lambda r: F.size(r))), padded)
 
 
 def layout_text(text: Column) -> Column:

@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions import answers as A
 from quarrystone.operators import tables
 
 
@@ -14,3 +15,12 @@ def test_long_markdown_table(spark):
     got = spark.range(1).select(tables.markdown_table(text).alias("t")).select("t.headers", F.posexplode("t.rows").alias("row", "cells")).orderBy("row").collect()
     assert time.time() - began < 60  # it took time with the square of the rows: more than this for a tenth of them
     assert len(got) == n and got[0].headers == ["a", "b", "column_3"] and got[6].cells == ["7", "x", "z"] and got[-1].cells == [str(n), "x", ""]
+
+
+def test_long_table(spark):
+    n = 6000
+    matrix = F.concat(F.array(F.array(F.lit("T"))), F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.array(k.cast("string"), F.lit("x"))), F.array(F.array(F.lit(" "))))
+    began = time.time()
+    t = spark.range(1).select(A.normal_table(matrix, F.lit(True)).alias("t")).first().t
+    assert time.time() - began < 60  # it took time with the square of the rows
+    assert (t.title, t.headers, len(t.rows), t.rows[-1]) == ("T", ["Field", "Value"], n, [str(n), "x"])
