@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import inner, inner_tokens, lexical_tokens, normalized
+from quarrystone.operators.best import Best
 
 K1, B = 1.5, 0.75
 RRF_K = 60.0
@@ -59,35 +61,66 @@ def exact_phrases(records: DataFrame, queries: DataFrame) -> DataFrame:
     return long.unionByName(short)
 
 
-def inner_products(records: DataFrame, queries: DataFrame, k: int | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """records: id, vector; queries: query_id, vector -> query_id, id, raw, the inner product in double precision.
+def _codes(column: pa.Array, known: dict) -> np.ndarray:
+    """A number for every value, the same one in all batches."""
+    encoded = column.dictionary_encode()
+    own = np.array([known.setdefault(v, len(known)) for v in encoded.dictionary.to_pylist()] + [-1], np.int64)
+    index = pc.fill_null(encoded.indices, len(own) - 1).to_numpy()
+    if encoded.null_count:
+        own[-1] = known.setdefault(None, len(known))
+    return own[index]
 
-    Queries of up to most_bytes in all go to every task as one matrix, and each batch of records is one matrix product; with k, only what can be
-    among a batch's k best of a query leaves it. More queries meet the records in a join of blocks."""
-    slim = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+
+def _out(columns: dict[str, pa.Array], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    for at in range(0, whole.num_rows, rows):
+        yield whole.slice(at, rows)
+
+
+def inner_products(records: DataFrame, queries: DataFrame, k: int | None = None, group: str | None = None, most_bytes: int = 64 << 20, cells: int = 1 << 19) -> DataFrame:
+    """records: id, vector; queries: query_id, vector -> query_id, id, raw, the inner product in double precision, and the column ``group`` of the records.
+
+    Queries of up to most_bytes in all go to every task as one matrix, which meets the records in products of at most ``cells`` numbers (one
+    record at least). With k, what can be among a task's k best of a query (and group) leaves it, and no more is held. More queries meet the
+    records in a join of blocks."""
+    slim = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
     size = slim.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0] * 8
+    more = [group] if group else []
     if size > most_bytes:
         blocks = slim.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(size) / F.lit(1 << 20))).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-        pairs = records.join(blocks).select("id", F.col("vector").alias("v"), F.explode("qs").alias("q"))
-        return pairs.select("q.query_id", "id", inner(F.col("v"), F.col("q.vector")).alias("raw"))
-    held = slim.collect()
-    names, matrix = [r.query_id for r in held], np.array([r.vector for r in held], np.float64)
-    kinds = [dict(d.dtypes)[c] for d, c in ((slim, "query_id"), (records, "id"))]
+        pairs = records.join(blocks).select("id", *more, F.col("vector").alias("v"), F.explode("qs").alias("q"))
+        return pairs.select("q.query_id", "id", inner(F.col("v"), F.col("q.vector")).alias("raw"), *more)
+    held = slim.toArrow().combine_chunks()
+    n, names = held.num_rows, pa.concat_arrays(held.column(0).chunks) if held.num_rows else pa.array([])
+    matrix = held.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
+    kinds = [dict(d.dtypes)[c] for d, c in ((slim, "query_id"), (records, "id"), *((records, g) for g in more))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
+        best, known, step = Best(k) if k else None, {}, max(cells // max(n, 1), 1)
         for b in batches:
-            if not b.num_rows or not names:
+            if not b.num_rows or not n:
                 continue
-            own = pa.array(names) if own is None else own
             vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-            raw = matrix @ vectors.T
-            # ties are broken later: everything that rounds to the least of the k best goes on
-            least = np.partition(raw, -k, axis=1)[:, -k, None] - 1e-8 if k and k < b.num_rows else -np.inf
-            q, r = np.nonzero(raw >= least)
-            yield pa.RecordBatch.from_arrays([own.take(pa.array(q)), b.column(0).take(pa.array(r)), pa.array(raw[q, r])], names=["query_id", "id", "raw"])
-
-    return records.where("vector IS NOT NULL").select("id", "vector").mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, raw double")
+            codes = _codes(b.column(2), known) if group and k else np.zeros(b.num_rows, np.int64)
+            for code in np.unique(codes):
+                mine = np.flatnonzero(codes == code)
+                for at in range(0, len(mine), step):
+                    rows = mine[at : at + step]
+                    raw = vectors[rows] @ matrix.T
+                    if best:
+                        slots = code * n + np.arange(n)
+                        r, q = np.nonzero(~(raw < best.floor(slots)))
+                        best.add(slots[q], raw[r, q], b.column(0).take(pa.array(rows[r])))
+                    else:
+                        taken = pa.array(np.repeat(rows, n))
+                        yield from _out({"query_id": names.take(pa.array(np.tile(np.arange(n), len(rows)))), "id": b.column(0).take(taken), "raw": pa.array(raw.ravel()), **{g: b.column(2).take(taken) for g in more}})
+        if best and (left := best.take()):
+            slot, raw, ids, _ = left
+            own = {group: pa.array(list(known), b.schema.field(2).type).take(pa.array(slot // n))} if group else {}
+            yield from _out({"query_id": names.take(pa.array(slot % n)), "id": ids, "raw": pa.array(raw), **own})
+
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, raw double" + (f", {group} {kinds[2]}" if group else "")
+    return records.where("vector IS NOT NULL").select("id", "vector", *more).mapInArrow(run, schema)
 
 
 def vector_topk(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:

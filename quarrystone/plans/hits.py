@@ -29,10 +29,10 @@ def keyword_ranks(s: SparkSession, d: str) -> DataFrame:
     return K.keyword_ranks(_keyword(s, d), 8).select("query_id", "modality", "id", "exact", "keyword_rank")
 
 
-def _pairs(s, d, records):
-    """All records against every hundredth one: raw scores."""
+def _pairs(s, d, records, k):
+    """All records against every hundredth one: raw scores, those that can be among the k best of a query and modality."""
     q = _vectors(s, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
-    return Q.inner_products(records, q).join(records.drop("vector"), "id")
+    return Q.inner_products(records, q, k, "modality").withColumn("position", F.col("id"))
 
 
 def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     box = F.array(F.lit(0.0), F.lit(0.01), F.lit(1.0), F.when(i % 2 == 0, 0.99).otherwise(0.5))
     kept = K.filtered(v, document_ids=["d0", "d1", "d2", "d4", "d5"], document_types=["pdf", "DOCX"]).withColumn("vec_id", F.col("id"))
     kept = kept.where(K.final_evidence(F.col("modality"), F.col("document_type"), i % 13 != 0, F.when(i % 17 == 0, True), box)).drop("vec_id")
-    return K.vector_ranks(_pairs(s, d, kept), 5).select("query_id", "modality", "id", "vector_rank", F.round("raw", 5).alias("raw"))
+    return K.vector_ranks(_pairs(s, d, kept, 5), 5).select("query_id", "modality", "id", "vector_rank", F.round("raw", 5).alias("raw"))
 
 
 def _candidates(s, d):

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from quarrystone.functions import answers as A
+from quarrystone.operators import retrieval as R
 from quarrystone.operators import tables
 
 
@@ -24,3 +25,27 @@ def test_long_table(spark):
     t = spark.range(1).select(A.normal_table(matrix, F.lit(True)).alias("t")).first().t
     assert time.time() - began < 60  # it took time with the square of the rows
     assert (t.title, t.headers, len(t.rows), t.rows[-1]) == ("T", ["Field", "Value"], n, [str(n), "x"])
+
+
+def _few(spark, n=1200, queries=4):
+    """Vectors in one partition, in batches of 50, with many equal ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    vector = F.array(*[((F.col("id") * (7 + j)) % 31 / 31).cast("float") for j in range(4)])
+    v = spark.range(0, n, 1, 1).select("id", vector.alias("vector"), (F.col("id") % 3).cast("string").alias("modality"))
+    return v, v.where(f"id < {queries}").select(F.col("id").alias("query_id"), "vector")
+
+
+def _brute(v, q, k, group):
+    rows, want = v.collect(), {}
+    for x in q.collect():
+        for r in rows:
+            raw = sum(float(a) * float(b) for a, b in zip(x.vector, r.vector, strict=True))
+            want.setdefault((x.query_id, r.modality if group else None), []).append((-round(raw, 9), r.id))
+    return {(q, g, i) for (q, g), found in want.items() for _, i in sorted(found)[:k]}
+
+
+def test_vectors_of_a_group(spark):
+    v, q = _few(spark)
+    got = R.inner_products(v, q, 5, "modality").collect()
+    assert len(got) <= 4 * 3 * 5  # all 4,800 pairs left the tasks
+    assert {(r.query_id, r.modality, r.id) for r in got} == _brute(v, q, 5, True)
