@@ -49,3 +49,11 @@ def test_vectors_of_a_group(spark):
     got = R.inner_products(v, q, 5, "modality").collect()
     assert len(got) <= 4 * 3 * 5  # all 4,800 pairs left the tasks
     assert {(r.query_id, r.modality, r.id) for r in got} == _brute(v, q, 5, True)
+
+
+def test_vectors_of_many_batches(spark):
+    v, q = _few(spark)
+    got = R.inner_products(v, q, 30).collect()
+    assert len(got) == 4 * 30  # the 30 best and all ties of every batch of 50 left the task
+    assert {(r.query_id, None, r.id) for r in got} == _brute(v, q, 30, False)
+    assert {(r.query_id, None, r.id) for r in R.vector_topk(v, q, 30).collect()} == _brute(v, q, 30, False)
