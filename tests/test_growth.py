@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import answers as A
 from quarrystone.operators import retrieval as R
 from quarrystone.operators import tables
+from quarrystone.operators.best import Best
 
 
 def test_long_markdown_table(spark):
@@ -57,3 +58,25 @@ def test_vectors_of_many_batches(spark):
     assert len(got) == 4 * 30  # the 30 best and all ties of every batch of 50 left the task
     assert {(r.query_id, None, r.id) for r in got} == _brute(v, q, 30, False)
     assert {(r.query_id, None, r.id) for r in R.vector_topk(v, q, 30).collect()} == _brute(v, q, 30, False)
+
+
+def test_best_against_brute_force():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(5)
+    for k in (1, 3, 10):
+        rows, best = [], Best(k, room=50)
+        for _ in range(30):
+            part = [(r.randrange(4), r.choice([0.1, 0.1000000004, 0.1000000006, 0.25, -3.0, float("nan"), r.random()]), r.randrange(10**6), r.random() < 0.02) for _ in range(40)]
+            part = [x for x in part if x[3] or not x[1] < best.floor(np.array([x[0]]))[0]]
+            rows += part
+            best.add(*(np.array(c) for c in list(zip(*part, strict=True))[:2]), pa.array([x[2] for x in part]), np.array([x[3] for x in part]))
+            assert best.held <= 50 + 40 + 2 * k * 4
+        slot, value, ids, first = best.take()
+        order = lambda x: (x[0], not x[3], x[1] == x[1], -round(x[1], 9) if x[1] == x[1] else 0, x[2])
+        want = [x for s in range(4) for x in sorted((x for x in rows if x[0] == s), key=order)[:k]]
+        got = [x for s in range(4) for x in sorted((x for x in zip(slot.tolist(), value.tolist(), ids.to_pylist(), first.tolist(), strict=True) if x[0] == s), key=order)[:k]]
+        assert str(got) == str(want)
