@@ -21,6 +21,11 @@ def _keys(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+def _ordered(ids: pa.Array) -> pa.Array:
+    """What rows are ordered by: of rows with further fields, the id."""
+    return ids.field("id") if pa.types.is_struct(ids.type) else ids
+
+
 class Best:
     """Rows (slot, value, id, first) of which those are held that can be among their slot's k best: rows marked as first, then by rounded value, then by id.
 
@@ -71,7 +76,7 @@ class Best:
         # of rows that surely have the k-th value, the smallest ids stay
         tie = np.flatnonzero((low == least) & (high == least))
         above = np.bincount(slot[low > least], minlength=len(self.least))
-        tie = tie[np.lexsort((pc.rank(ids.take(pa.array(tie)), null_placement="at_start", tiebreaker="dense").to_numpy(), slot[tie]))]
+        tie = tie[np.lexsort((pc.rank(_ordered(ids.take(pa.array(tie))), null_placement="at_start", tiebreaker="dense").to_numpy(), slot[tie]))]
         of = slot[tie]
         new = np.r_[True, of[1:] != of[:-1]] if len(of) else np.empty(0, bool)
         place = np.arange(len(of)) - np.maximum.accumulate(np.where(new, np.arange(len(of)), 0)) if len(of) else np.empty(0, np.int64)

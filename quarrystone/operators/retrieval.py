@@ -39,28 +39,163 @@ def bm25(records: DataFrame, queries: DataFrame, most: int = 500_000) -> DataFra
     return rows.groupBy("query_id", "id").agg(F.sum(idf * weight * F.col("qf")).alias("score"))
 
 
+def _best_scores(docs: DataFrame, wanted: pa.Table, phrases: list[tuple] | None, k: int, group: str | None, exact_first: bool, cells: int) -> DataFrame:
+    """docs: id, tokens[, body][, group], ids that no two rows share; wanted: query_id, token, qf; phrases: query_id, phrase, inner tokens. See bm25_best."""
+    spark = docs.sparkSession
+    keep = spark.createDataFrame([(t,) for t in ["", *pc.unique(wanted.column("token")).to_pylist()]], "token string")
+    each = docs.select(F.size("tokens").alias("len"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
+    held = {r.token: (r.df, r.all_len) for r in each.join(F.broadcast(keep), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.sum("len").alias("all_len")).collect()}
+    n_docs, all_len = held.pop("", (0, 0))
+    average = all_len / n_docs if all_len else 1.0
+    known = wanted.filter(pc.is_in(wanted.column("token"), pa.array(list(held), pa.string()))).sort_by("token").combine_chunks()
+    names = pc.unique(wanted.column("query_id"))
+    at = {v: i for i, v in enumerate(names.to_pylist())}
+    tokens = pc.unique(known.column("token"))
+    place = {v: i for i, v in enumerate(tokens.to_pylist())}
+    df = np.array([held[v][0] for v in tokens.to_pylist()], np.float64)
+    owner = np.array([place[v] for v in known.column("token").to_pylist()], np.int64)
+    count = np.bincount(owner, minlength=len(tokens))
+    start = np.cumsum(count) - count
+    query = np.array([at[v] for v in known.column("query_id").to_pylist()], np.int64)
+    gain = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[owner] * known.column("qf").to_numpy() * (K1 + 1)
+    # a phrase is looked for where its rarest inner token is; without inner tokens, everywhere
+    sought, loose = {}, []
+    for q, phrase, inside in phrases or []:
+        if q in at and phrase and all(x in place for x in inside):
+            (sought.setdefault(min((place[x] for x in inside), key=lambda t: df[t]), []) if inside else loose).append((at[q], phrase))
+    anchors = np.zeros(len(tokens), bool)
+    anchors[list(sought)] = True
+    nq, nt, exacts = len(names), len(tokens), phrases is not None
+    more = [group] if group else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, groups, step = Best(k), {}, max(cells // max(nq, nt, 1), 1)
+        for b in batches:
+            codes = _codes(b.column(group), groups) if group else np.zeros(b.num_rows, np.int64)
+            for row in range(0, b.num_rows, step):
+                part = b.slice(row, step)
+                lists, n = part.column("tokens"), part.num_rows
+                size = np.diff(lists.offsets.to_numpy())
+                found = pc.fill_null(pc.index_in(lists.flatten(), value_set=tokens), -1).to_numpy()
+                tf = np.bincount((np.repeat(np.arange(n), size) * nt + found)[found >= 0], minlength=n * nt)
+                cell = np.flatnonzero(tf)
+                doc, token = cell // max(nt, 1), cell % max(nt, 1)
+                weight = tf[cell] / (tf[cell] + K1 * (1 - B + B * size[doc] / average))
+                times = count[token]
+                entry = np.repeat(start[token] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                score = np.bincount(np.repeat(doc, times) * nq + query[entry], np.repeat(weight, times) * gain[entry], minlength=n * nq).reshape(n, nq)
+                exact = np.zeros((n, nq), bool)
+                if exacts:
+                    there = np.flatnonzero(anchors[token])
+                    bodies = {d: part.column("body")[int(d)].as_py() for d in (range(n) if loose else np.unique(doc[there]))}
+                    for d, t in zip(doc[there], token[there], strict=True):
+                        for q, phrase in sought[t]:
+                            exact[d, q] = phrase in bodies[d]
+                    for d in range(n) if loose else ():
+                        for q, phrase in loose:
+                            exact[d, q] = phrase in bodies[d]
+                own = codes[row : row + n]
+                for code in np.unique(own):
+                    mine, slots = np.flatnonzero(own == code), code * nq + np.arange(nq)
+                    s, e = score[mine], exact[mine]
+                    r, q = np.nonzero((s > 0) & ((s >= best.floor(slots)) | (e if exact_first else False)))
+                    # whether a hit is exact is kept in its slot
+                    best.add(slots[q], s[r, q], pa.StructArray.from_arrays([part.column("id").take(pa.array(mine[r])), pa.array(e[r, q])], ["id", "exact"]), e[r, q] if exact_first else None)
+        if left := best.take():
+            slot, value, ids, _ = left
+            own = {group: pa.array(list(groups), b.schema.field(group).type).take(pa.array(slot // nq))} if group else {}
+            yield from _out({"query_id": names.take(pa.array(slot % nq)), "id": ids.field("id"), "score": pa.array(value), **({"exact": ids.field("exact")} if exacts else {}), **own})
+
+    kind = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    kind["query_id"] = spark.createDataFrame(wanted.select(["query_id"]).slice(0, 0)).schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind['query_id']}, id {kind['id']}, score double" + (", exact boolean" if exacts else "") + (f", {group} {kind[group]}" if group else "")
+    return docs.mapInArrow(run, schema)
+
+
+def bm25_best(records: DataFrame, queries: DataFrame, k: int, group: str | None = None, phrases: bool = False, exact_first: bool = False, most: int = 500_000, cells: int = 1 << 21) -> DataFrame:
+    """bm25() and the column ``group`` of the records, without scores that cannot be among the k best of a query (and group); with phrases
+    whether the record contains the whole query (exact), with exact_first such records count as better than all others.
+
+    The number of records with each query token and their lengths are taken from the records first, when this is called. Then a task scores its
+    records in bounded pieces and holds k a query (and group), so that what is shuffled does not grow with the records of a task. More than
+    ``most`` query tokens, or records that share an id, take the way of bm25(), over a shuffle of all scores."""
+    wanted = queries.select("query_id", F.explode(lexical_tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
+    held = wanted.limit(most + 1).toArrow()
+    more = [group] if group else []
+    if held.num_rows > most or not records.groupBy("id").count().where("count > 1").isEmpty():
+        out = bm25(records, queries)
+        if phrases:
+            out = out.join(exact_phrases(records, queries).distinct().withColumn("exact", F.lit(True)), ["query_id", "id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+        return out.join(records.groupBy("id").agg(F.first(group).alias(group)), "id") if group else out
+    docs = records.where("text IS NOT NULL").select("id", lexical_tokens(F.col("text")).alias("tokens"), *([normalized(F.col("text")).alias("body")] if phrases else []), *more)
+    said = queries.where("text IS NOT NULL").select("query_id", normalized(F.col("text")), inner_tokens(F.col("text"))).collect() if phrases else None
+    return _best_scores(docs, held, [tuple(x) for x in said] if phrases else None, k, group, exact_first, cells)
+
+
 def ranked(scores: DataFrame, k: int, by: str = "score", name: str = "rank") -> DataFrame:
     """The k best of every query, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round(by, 9)), "id")
     return scores.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
-def exact_phrases(records: DataFrame, queries: DataFrame) -> DataFrame:
+def with_records(hits: DataFrame, records: DataFrame, queries: DataFrame, k: int, most: int = 500_000) -> DataFrame:
+    """hits, of which a query has k at most, with their records; up to ``most`` hits are broadcast, so that the records stay where they are."""
+    few = queries.limit(most // k + 1).count() <= most // k
+    return (F.broadcast(hits) if few else hits).join(records, "id")
+
+
+def exact_phrases(records: DataFrame, queries: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """query_id, id of the records that contain the whole normalised query.
 
     Candidates hold every token that all texts with the phrase have: the bigrams of its CJK runs, and its Latin
-    tokens but one at either end in text order, which the phrase may cut. Queries without such tokens are
-    compared with every record."""
+    tokens but one at either end in text order, which the phrase may cut. Queries of up to most_bytes in all go to every task, which looks for a
+    phrase where its longest such token is; more meet the records' tokens in a join. Queries without such tokens are compared with every record."""
     q = queries.select("query_id", normalized(F.col("text")).alias("phrase"), inner_tokens(F.col("text")).alias("inside"))
     r = records.select("id", normalized(F.col("text")).alias("body"), lexical_tokens(F.col("text")).alias("tokens"))
+    q = q.where(F.length("phrase") > 0)
+    if q.agg(F.coalesce(F.sum(F.length("phrase") + 100), F.lit(0))).first()[0] <= most_bytes:
+        return _phrases_found(r, q)
     need = q.where(F.size("inside") > 0).select("query_id", F.size("inside").alias("n"), F.explode("inside").alias("token"))
     have = r.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
     found = have.join(need, "token").groupBy("query_id", "id", "n").agg(F.count("*").alias("m")).where("m = n")
     long = found.join(q, "query_id").join(r, "id").where(F.contains("body", "phrase")).select("query_id", "id")
-    short = q.where((F.size("inside") == 0) & (F.length("phrase") > 0)).join(r, F.contains(F.col("body"), F.col("phrase"))).select("query_id", "id")
+    short = q.where(F.size("inside") == 0).join(r, F.contains(F.col("body"), F.col("phrase"))).select("query_id", "id")
     return long.unionByName(short)
 
 
+def _phrases_found(records: DataFrame, queries: DataFrame, step: int = 512) -> DataFrame:
+    """records: id, body, tokens; queries: query_id, phrase, inside. See exact_phrases."""
+    held = queries.select("query_id", "phrase", "inside").toArrow().combine_chunks()
+    names = pa.concat_arrays(held.column(0).chunks) if held.num_rows else pa.array([])
+    sought, loose = {}, []
+    for i, (phrase, inside) in enumerate(zip(held.column(1).to_pylist(), held.column(2).to_pylist(), strict=True)):
+        (sought.setdefault(max(inside, key=len), []) if inside else loose).append((i, phrase))
+    anchors = pa.array(list(sought), pa.string())
+    at = list(sought.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for row in range(0, whole.num_rows, step):
+                b = whole.slice(row, step)
+                lists, out = b.column("tokens"), []
+                found = pc.fill_null(pc.index_in(lists.flatten(), value_set=anchors), -1).to_numpy()
+                there = np.flatnonzero(found >= 0)
+                pairs = np.unique(np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))[there] * len(at) + found[there])
+                last, body = -1, ""
+                for d, t in zip((pairs // max(len(at), 1)).tolist(), (pairs % max(len(at), 1)).tolist(), strict=True):
+                    if d != last:
+                        last, body = d, b.column("body")[d].as_py()
+                    out += [(i, d) for i, phrase in at[t] if phrase in body]
+                if loose:
+                    out += [(i, d) for d, text in enumerate(b.column("body").to_pylist()) for i, phrase in loose if phrase in text]
+                if out:
+                    i, d = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+                    yield from _out({"query_id": names.take(i), "id": b.column("id").take(d)})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return records.where("body IS NOT NULL").select("id", "body", "tokens").mapInArrow(run, f"query_id {kind(queries, 'query_id')}, id {kind(records, 'id')}")
+
+
 def _codes(column: pa.Array, known: dict) -> np.ndarray:
     """A number for every value, the same one in all batches."""
     encoded = column.dictionary_encode()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrystone.operators import evidence, structure, tables
 from quarrystone.operators import records as R
 from quarrystone.operators import retrieval as Q
-from quarrystone.plans.registry import _BM25, _IP, _items, _read, _records, _vectors
+from quarrystone.plans.registry import _BM25, _IP, _items, _ranked, _read, _records, _vectors
 from quarrystone.sources.files import format_of
 from quarrystone.sources.snapshots import problems
 from quarrystone.streaming.ingest import windowed_counts
@@ -69,9 +69,8 @@ def variant_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_budget(s: SparkSession, d: str) -> DataFrame:
-    hits = Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 30)
     docs = _read(s, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("document"), F.coalesce("lang", F.lit("")).alias("container"), F.length(F.coalesce("text", F.lit(""))).alias("chars"))
-    return evidence.within_budget(hits.join(docs, "id"), 10, 8000, 4, 2, 2000)
+    return evidence.within_budget(Q.with_records(_ranked(s, d, 30), docs, _items(s, d), 30), 10, 8000, 4, 2, 2000)
 
 
 def page_formats(s: SparkSession, d: str) -> DataFrame:

@@ -9,24 +9,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.functions.text import inner
 from quarrystone.operators import ranking as K
 from quarrystone.operators import records as R
 from quarrystone.operators import retrieval as Q
 from quarrystone.operators import selection as S
-from quarrystone.plans.registry import _BM25, _EXACT, _IP, _items, _read, _records, _vectors, exact_phrase
+from quarrystone.plans.registry import _BM25, _EXACT, _IP, _items, _ranked, _read, _records, _vectors
 
 _pick = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (1 + c % len(values)).cast("int"))
 _modality = lambda c: _pick(K.MODALITIES, c)
 
 
-def _keyword(s, d):
-    exact = exact_phrase(s, d).withColumn("exact", F.lit(True))
-    scores = Q.bm25(_records(s, d), _items(s, d)).join(exact, ["query_id", "id"], "left")
-    return scores.select("query_id", "id", F.col("id").alias("position"), "score", F.coalesce("exact", F.lit(False)).alias("exact"), _modality(F.col("id")).alias("modality"))
+def _keyword(s, d, k):
+    """Scores of documents and whether they hold the whole item: what can be among the k best of an item and modality."""
+    records = _records(s, d).withColumn("modality", _modality(F.col("id")))
+    return Q.bm25_best(records, _items(s, d), k, "modality", phrases=True, exact_first=True).withColumn("position", F.col("id"))
 
 
 def keyword_ranks(s: SparkSession, d: str) -> DataFrame:
-    return K.keyword_ranks(_keyword(s, d), 8).select("query_id", "modality", "id", "exact", "keyword_rank")
+    return K.keyword_ranks(_keyword(s, d, 8), 8).select("query_id", "modality", "id", "exact", "keyword_rank")
 
 
 def _pairs(s, d, records, k):
@@ -46,12 +47,13 @@ def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
 
 def _candidates(s, d):
     """Vector and keyword hits of a query's record, keyword-only ones with their raw scores."""
-    v = _vectors(s, d).select("id", "vector")
-    q = _items(s, d).join(v, F.col("query_id") == F.col("id")).select("query_id", "vector")
-    raw = Q.inner_products(v, q)
-    near = K.vector_ranks(raw.select("*", F.col("id").alias("position"), _modality(F.col("id")).alias("modality")), 10).select("query_id", "id", "vector_rank")
-    words = K.keyword_ranks(_keyword(s, d), 10).select("query_id", "id", "keyword_rank", "exact")
-    both = near.join(words, ["query_id", "id"], "full_outer").join(raw, ["query_id", "id"])
+    v, items = _vectors(s, d).select("id", "vector"), _items(s, d)
+    q = items.join(v, F.col("query_id") == F.col("id")).select("query_id", "vector")
+    raw = Q.inner_products(v.withColumn("modality", _modality(F.col("id"))), q, 10, "modality").withColumn("position", F.col("id"))
+    near = K.vector_ranks(raw, 10).select("query_id", "id", "raw", "vector_rank")
+    words = K.keyword_ranks(_keyword(s, d, 10), 10).select("query_id", "id", "keyword_rank", "exact")
+    both = near.join(words, ["query_id", "id"], "full_outer").join(q.withColumnRenamed("vector", "asked"), "query_id")
+    both = Q.with_records(both, v, items, 20 * len(K.MODALITIES)).withColumn("raw", F.coalesce("raw", inner(F.col("vector"), F.col("asked"))))
     return both.select("query_id", "id", "raw", F.coalesce("vector_rank", F.lit(0)).alias("vector_rank"), "keyword_rank", F.coalesce("exact", F.lit(False)).alias("exact"), _modality(F.col("id")).alias("modality"))
 
 
@@ -70,7 +72,7 @@ def dedup_block_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_rerank(s: SparkSession, d: str) -> DataFrame:
-    hits = _fused(s, d).where("place <= 20").join(_records(s, d).withColumnRenamed("text", "body"), "id")
+    hits = Q.with_records(_fused(s, d).where("place <= 20"), _records(s, d).withColumnRenamed("text", "body"), _items(s, d), 20)
     return K.text_rerank(hits, _items(s, d), 6).select("query_id", "id", "rank", F.round("fusion", 7).alias("fusion"))
 
 
@@ -86,7 +88,7 @@ def variant_interleave(s: SparkSession, d: str) -> DataFrame:
 
 def _blocks(s, d):
     """The lines of a query's hits as blocks, each seen by two hits."""
-    hits = Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 6).select("query_id", "id", "rank")
+    hits = _ranked(s, d, 6).select("query_id", "id", "rank")
     i = F.col("id") + F.col("block")
     blocks = hits.withColumn("block", F.explode(F.array(F.lit(0), F.lit(1))))
     return blocks.select(
@@ -104,7 +106,7 @@ def selection_cap(s: SparkSession, d: str) -> DataFrame:
 
 
 def _covered(s, d):
-    hits = Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 8).join(_records(s, d), "id")
+    hits = Q.with_records(_ranked(s, d, 8), _records(s, d), _items(s, d), 8)
     items = hits.select("query_id", F.format_string("E%03d", "rank").alias("evidence_id"), "rank", F.col("text").alias("body"), (F.col("id") % 3).cast("string").alias("document_id"), _modality(F.col("id")).alias("modality"))
     return S.coverage_decisions(_items(s, d).withColumnRenamed("text", "question"), items)
 

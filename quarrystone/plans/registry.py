@@ -37,8 +37,13 @@ def lexical(s, d):
     return _records(s, d).select("id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), F.md5(normalized(F.col("text"))).alias("norm_md5"))
 
 
+def _ranked(s, d, k):
+    """The k best documents of every item by BM25."""
+    return Q.ranked(Q.bm25_best(_records(s, d), _items(s, d), k), k)
+
+
 def bm25_topk(s, d):
-    return Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
+    return _ranked(s, d, 10).select("query_id", "id", "rank", F.round("score", 5).alias("score"))
 
 
 def exact_phrase(s, d):
@@ -54,9 +59,8 @@ def vector_topk(s, d):
 def _fused(s, d, k):
     v, items = _vectors(s, d), _items(s, d)
     q = items.join(v, F.col("query_id") == F.col("id")).select("query_id", "vector")
-    hits = Q.ranked(Q.bm25(_records(s, d), items), 30, name="keyword_rank")
-    exact = exact_phrase(s, d).withColumn("exact", F.lit(True))
-    return Q.fuse(Q.vector_topk(v, q, 30), hits.join(exact, ["query_id", "id"], "left"), k)
+    hits = Q.ranked(Q.bm25_best(_records(s, d), items, 30, phrases=True), 30, name="keyword_rank")
+    return Q.fuse(Q.vector_topk(v, q, 30), hits, k)
 
 
 def hybrid_fusion(s, d):
@@ -64,13 +68,12 @@ def hybrid_fusion(s, d):
 
 
 def distinct_hits(s, d):
-    hits = Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 30)
-    hashed = _records(s, d).select("id", F.sha2(normalized(F.col("text")), 256).alias("content_hash"))
-    return Q.distinct_hits(hits.join(hashed, "id"), 10).select("query_id", "id", "rank")
+    hits = Q.with_records(_ranked(s, d, 30), _records(s, d), _items(s, d), 30)
+    return Q.distinct_hits(hits.withColumn("content_hash", F.sha2(normalized(F.col("text")), 256)).drop("text"), 10).select("query_id", "id", "rank")
 
 
 def retrieval_metrics(s, d):
-    return Q.metrics(exact_phrase(s, d), Q.ranked(Q.bm25(_records(s, d), _items(s, d)), 10))
+    return Q.metrics(exact_phrase(s, d), _ranked(s, d, 10))
 
 
 def _turns(s, d):

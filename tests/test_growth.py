@@ -2,12 +2,14 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import answers as A
 from quarrystone.operators import retrieval as R
 from quarrystone.operators import tables
 from quarrystone.operators.best import Best
+from quarrystone.plans import registry
 
 
 def test_long_markdown_table(spark):
@@ -80,3 +82,25 @@ def test_best_against_brute_force():
         want = [x for s in range(4) for x in sorted((x for x in rows if x[0] == s), key=order)[:k]]
         got = [x for s in range(4) for x in sorted((x for x in zip(slot.tolist(), value.tolist(), ids.to_pylist(), first.tolist(), strict=True) if x[0] == s), key=order)[:k]]
         assert str(got) == str(want)
+
+
+def _written(plan):
+    """Rows that the exchanges of an executed plan wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _written(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _written(plan.plan())
+    own, children = plan.metrics().get("shuffleRecordsWritten"), plan.children()
+    return (own.get().value() if own.isDefined() else 0) + sum(_written(children.apply(k)) for k in range(children.size()))
+
+
+# rows that the exchanges may write on the smallest tables, 200 documents and 40 items
+RANKED = {"coverage_order": 8_000}
+
+
+@pytest.mark.parametrize("name", list(RANKED))
+def test_scores_stay_in_their_task(spark, name):
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    assert _written(df._jdf.queryExecution().executedPlan()) <= RANKED[name]
