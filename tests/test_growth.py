@@ -96,7 +96,7 @@ def _written(plan):
 
 
 # rows that the exchanges may write on the smallest tables, 200 documents and 40 items
-RANKED = dict.fromkeys(("coverage_order", "coverage_score", "evidence_normalize", "keyword_ranks", "hybrid_by_modality", "dedup_block_overlap", "text_rerank", "hybrid_fusion", "retrieval_metrics", "distinct_hits", "evidence_budget", "bm25_topk"), 8_000)
+RANKED = dict.fromkeys(("coverage_order", "coverage_score", "evidence_normalize", "keyword_ranks", "hybrid_by_modality", "dedup_block_overlap", "text_rerank", "hybrid_fusion", "retrieval_metrics", "distinct_hits", "evidence_budget", "bm25_topk", "selection_cap"), 8_000)
 
 
 @pytest.mark.parametrize("name", list(RANKED))
