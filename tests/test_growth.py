@@ -96,7 +96,7 @@ def _written(plan):
 
 
 # rows that the exchanges may write on the smallest tables, 200 documents and 40 items
-RANKED = dict.fromkeys(("coverage_order", "coverage_score", "evidence_normalize", "keyword_ranks", "hybrid_by_modality", "dedup_block_overlap", "text_rerank", "hybrid_fusion", "retrieval_metrics", "distinct_hits", "evidence_budget", "bm25_topk", "selection_cap"), 8_000)
+RANKED = dict.fromkeys(("coverage_order", "coverage_score", "evidence_normalize", "keyword_ranks", "hybrid_by_modality", "dedup_block_overlap", "text_rerank", "hybrid_fusion", "retrieval_metrics", "distinct_hits", "evidence_budget", "bm25_topk", "selection_cap"), 8_000) | {"exact_phrase": 0}
 
 
 @pytest.mark.parametrize("name", list(RANKED))
@@ -104,3 +104,29 @@ def test_scores_stay_in_their_task(spark, name):
     df = registry.queries()[name](spark, "/root/testdata/sf0.001")
     df._jdf.queryExecution().executedPlan().executeCollect()
     assert _written(df._jdf.queryExecution().executedPlan()) <= RANKED[name]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_best_scores_and_phrases_against_all(spark, twice):
+    """Nulls, empty texts, CJK, phrases without inner tokens or in parts of tokens, and records that share an id."""
+    texts = ["alpha beta gamma delta", "xalpha beta gammay", None, "", "数据处理系统 alpha", "x beta", "beta", "ALPHA  Beta GAMMA", "alpha beta gamma delta", "系统", "a-b/c beta.gamma", "straße beta strasse"]
+    rows = [(k, texts[k % len(texts)], k % 2) for k in range(40)] + ([(3, "alpha beta gamma", 1)] if twice else [])
+    records = spark.createDataFrame(rows, "id long, text string, part int").repartition(3)
+    queries = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, "数据处理"), (4, None), (5, "nowhere at all"), (6, "STRASSE"), (7, "delta delta")], "query_id int, text string")
+    found = {(q, i) for q, x in ((r.query_id, r.text) for r in queries.collect()) for i, t, _ in rows if x and t and " ".join(x.lower().split()) in " ".join(t.lower().replace("ß", "ss").split())}
+    for most in (64 << 20, 0):
+        assert {(r.query_id, r.id) for r in R.exact_phrases(records, queries, most).collect()} == found
+    part = {i: p for i, _, p in reversed(rows)}
+    all_ = [(r.query_id, part[r.id], r.id, (r.query_id, r.id) in found, r.score) for r in R.bm25(records, queries).collect()]
+    want = {}
+    for q, p, i, exact, score in sorted(all_, key=lambda x: (not x[3], -round(x[4], 9), x[2])):
+        if len([1 for w in want if w[:2] == (q, p)]) < 3:
+            want[q, p, i] = (exact, round(score, 8))
+    got = R.bm25_best(records, queries, 3, "part", phrases=True, exact_first=True).collect()
+    kept = {}
+    for r in sorted(got, key=lambda r: (not r.exact, -round(r.score, 9), r.id)):
+        if len([1 for w in kept if w[:2] == (r.query_id, r.part)]) < 3:
+            kept[r.query_id, r.part, r.id] = (r.exact, round(r.score, 8))
+    assert kept == want
+    plain = {(r.query_id, r.id, round(r.score, 8)) for r in R.ranked(R.bm25_best(records, queries, 4), 4).collect()}
+    assert plain == {(r.query_id, r.id, round(r.score, 8)) for r in R.ranked(R.bm25(records, queries), 4).collect()}
