@@ -2,16 +2,24 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import answers as A
+from quarrystone.operators import chunking as H
 from quarrystone.operators import retrieval as R
 from quarrystone.operators import tables
 from quarrystone.operators.best import Best
 from quarrystone.plans import registry
 
 
+@pytest.fixture(autouse=True)
+def batches_as_before(spark):
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_long_markdown_table(spark):
     n = 6000
     text = F.concat(F.lit("| a | b |\n|---|---|\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit("| "), k.cast("string"), F.lit(" | x |"), F.when(k == 7, " z |").otherwise(""))), "\n"))
@@ -130,3 +138,31 @@ def test_best_scores_and_phrases_against_all(spark, twice):
     assert kept == want
     plain = {(r.query_id, r.id, round(r.score, 8)) for r in R.ranked(R.bm25_best(records, queries, 4), 4).collect()}
     assert plain == {(r.query_id, r.id, round(r.score, 8)) for r in R.ranked(R.bm25(records, queries), 4).collect()}
+
+
+def test_rows_of_tables_against_whole_tables(spark):
+    """Tables of long and short rows, nulls, blank rows, one row, in batches of five rows."""
+    import random
+
+    r, rows = random.Random(3), []
+    for doc in range(12):
+        long = 3 if doc % 2 else 90 if doc % 3 else 30
+        rows += [(doc, [r.choice(["", " ", None, "é" * r.randrange(long), str(k)]) for _ in range(9)]) for k in range(r.choice([1, 2, 40]))]
+        rows += [(doc, ["  "] * 9)] * (doc % 4)
+    rows += [(12, [" "] * 9), (None, ["x"] * 9), (None, ["y"] * 9)]
+    headers, sizes = [f"head{k}" for k in range(9)], H.Sizes(most=120, rows=4, columns=5, overlap=10)
+    data = spark.createDataFrame(rows, "document_id long, cells array<string>")
+    clean = data.select("document_id", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))).alias("cells"))
+    tables_ = clean.groupBy("document_id").agg(F.array_sort(F.collect_list("cells")).alias("r")).select("document_id", F.lit("b").alias("block_id"), F.lit(0).cast("long").alias("reading_order"), F.concat(F.array(F.array(*map(F.lit, headers))), "r").alias("matrix"), F.lit("").alias("raw"), F.lit(False).alias("native"), F.lit("T").alias("title"), F.lit("S").alias("place"))
+    columns = ["document_id", "ordinal", "headers", "row_start", "row_end", "segment", "embedding_text"]
+    want = sorted(map(str, H.table_records(tables_, sizes).select(columns).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    got = sorted(map(str, H.table_row_records(data, headers, "T", "S", sizes).select(columns).collect()))
+    assert got == want and len(got) > 100
+    held = []
+    for n in (50, 500):
+        t = H._OpenTable(pa.array([1]), [[0, 1], [0, 2]], [["a", "b", "c"], "", ""], H.Sizes())
+        for k in range(n):
+            list(t.add(pa.array([[str(k), "x", "y" * (k % 50)]] * 10)))
+            held.append(len(t.held))
+    assert max(held) <= H.Sizes().rows  # a table was held as a whole
