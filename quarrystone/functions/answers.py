@@ -133,9 +133,9 @@ def rendered_claim(text: Column, evidence_ids: Column) -> Column:
     return F.concat(stopped, F.array_join(F.transform(evidence_ids, lambda i: F.concat(F.lit("["), i, F.lit("]"))), ""))
 
 
-def heading_level(text: Column, level: Column, label: Column) -> Column:
-    """The level of a heading, null for other blocks: named so by its label, of level 1 or 2 and short, or numbered and short."""
-    t = collapsed(text)
+def heading_level(text: Column, level: Column, label: Column, clean: bool = False) -> Column:
+    """The level of a heading, null for other blocks: named so by its label, of level 1 or 2 and short, or numbered and short; clean: the text is collapsed."""
+    t = text if clean else collapsed(text)
     named = F.lower(F.coalesce(label, F.lit(""))).isin("title", "heading", "section_header", "section-header")
     numbered = (F.length(t) <= 120) & t.rlike(r"^(?:第[一二三四五六七八九十百]+[章节]|\d+(?:\.\d+)*[.、]\s*)")
     return F.when(named | F.coalesce((level <= 2) & (F.length(t) <= 160), F.lit(False)) | numbered, F.greatest(F.coalesce(level, F.lit(2)), F.lit(1)))

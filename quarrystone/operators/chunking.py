@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -36,7 +37,7 @@ class Sizes:
 def text_pieces(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """blocks: document_id, block_id, reading_order, text, level, label, sheet, slide, page -> the same with titles, container, at and piece: blank
     blocks go, headings open titles, long texts are split."""
-    t = blocks.withColumn("text", collapsed(F.col("text"))).where("text <> ''").withColumn("level", heading_level(F.col("text"), F.col("level"), F.col("label")))
+    t = blocks.where(F.col("text").rlike(r"\S")).withColumn("text", collapsed(F.col("text"))).withColumn("level", heading_level(F.col("text"), F.col("level"), F.col("label"), clean=True))
     titled = title_paths(t.withColumnsRenamed({"document_id": "id", "reading_order": "ordinal", "text": "title"}), levels=9)
     titled = titled.withColumnsRenamed({"id": "document_id", "ordinal": "reading_order", "title": "text", "path": "titles"}).withColumn("container", container_key(F.col("sheet"), F.col("slide"), F.col("page")))
     return titled.select("document_id", "block_id", "reading_order", "titles", "container", F.posexplode(split_long(F.col("text"), sizes.most, sizes.overlap)).alias("at", "piece"))
@@ -69,29 +70,51 @@ def packed(pieces: list[dict], sizes: Sizes) -> Iterator[tuple[list[str], list[s
 def text_records(blocks: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """document_id, ordinal, record_id, previous_record_id, next_record_id, block_ids, titles, overlap, body, embedding_text, content_hash.
 
-    Empty and null texts give no record; a document without any has none."""
+    A document's records are made in one call, which also names them and links them, so that they are not shuffled again. Empty and null texts give no record; a document without any has none."""
     order = F.array_sort(F.collect_list(F.struct("reading_order", "at", "block_id", "titles", "container", "piece")))
     rows = text_pieces(blocks, sizes).groupBy("document_id").agg(order.alias("pieces"))
     kind = rows.schema["document_id"].dataType.simpleString()
-    names = ["document_id", "ordinal", "block_ids", "titles", "overlap", "body", "last"]
-    schema = [pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+    names = ["document_id", "ordinal", "record_id", "previous_record_id", "next_record_id", "block_ids", "titles", "overlap", "body", "content_hash"]
+    strings = pa.list_(pa.string())
+    schema = [pa.int32(), pa.string(), pa.string(), pa.string(), strings, strings, pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                found = list(packed(b.column(1)[k].as_py(), sizes))
-                columns = [range(len(found)), *zip(*found, strict=True), [len(found) - 1] * len(found)] if found else [[]] * 6
-                own = pa.array([b.column(0)[k].as_py()] * len(found), b.schema.field(0).type)
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(list(c), t) for c, t in zip(columns, schema, strict=True))], names=names)
-
-    out = rows.mapInArrow(run, f"document_id {kind}, ordinal int, block_ids array<string>, titles array<string>, overlap string, body string, last int")
-    digest = F.sha2(F.to_json(F.struct(F.col("overlap").alias("overlap_text"), F.col("body").alias("text"), F.col("titles").alias("title_path"))), 256)
-    out = out.withColumn("content_hash", digest).withColumn("embedding_text", bounded_text(F.col("titles"), F.col("overlap"), F.col("body"), sizes.most))
-    out = out.withColumn("record_id", content_hash(F.col("document_id").cast("string"), F.lit("text"), F.concat_ws("\0", "block_ids"), F.col("ordinal").cast("string"), F.col("content_hash")))
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("document_id").orderBy("ordinal")
-    return out.withColumn("previous_record_id", F.lag("record_id").over(own)).withColumn("next_record_id", F.lead("record_id").over(own)).drop("last")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                lists, own, columns = b.column("pieces"), [], [[] for _ in schema]
+                flat = lists.flatten()
+                parts = zip(*(flat.field(n).to_pylist() for n in ("titles", "container", "piece", "block_id")), strict=True)
+                pieces = [{"titles": t, "container": c, "piece": p, "block_id": i} for t, c, p, i in parts]
+                edges = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+                for k, name in enumerate(b.column("name").to_pylist()):
+                    found = list(packed(pieces[edges[k] : edges[k + 1]], sizes))
+                    hashes = [record_hash(overlap, body, titles) for _, titles, overlap, body in found]
+                    ids = [_sha256("\0".join([*([] if name is None else [name]), "text", "\0".join(x for x in f[0] if x is not None), str(n), h])) for n, (f, h) in enumerate(zip(found, hashes, strict=True))]
+                    rows = [range(len(found)), ids, [None, *ids][: len(ids)], [*ids[1:], None][: len(ids)], *(zip(*found, strict=True) if found else [()] * 4), hashes]
+                    own += [k] * len(found)
+                    for column, more in zip(columns, rows, strict=True):
+                        column += more
+                yield pa.RecordBatch.from_arrays([b.column("document_id").take(pa.array(own, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, schema, strict=True))], names=names)
+
+    rows = rows.select("document_id", F.col("document_id").cast("string").alias("name"), "pieces")
+    out = rows.mapInArrow(run, f"document_id {kind}, ordinal int, record_id string, previous_record_id string, next_record_id string, block_ids array<string>, titles array<string>, overlap string, body string, content_hash string")
+    return out.withColumn("embedding_text", bounded_text(F.col("titles"), F.col("overlap"), F.col("body"), sizes.most))
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: How to_json writes the characters that cannot stand for themselves.
+_ESCAPED = {chr(k): f"\\u{k:04X}" for k in range(32)} | {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+_SPECIAL = re.compile(r'["\\\x00-\x1f]')
+
+
+def record_hash(overlap: str, body: str, titles: list[str]) -> str:
+    """SHA-256 of the record as to_json writes it: overlap_text, text, title_path."""
+    said = lambda x: '"' + _SPECIAL.sub(lambda m: _ESCAPED[m[0]], x) + '"'
+    return _sha256(f'{{"overlap_text":{said(overlap)},"text":{said(body)},"title_path":[{",".join(map(said, titles))}]}}')
 
 
 def _text(title: str, headers: list[str], rows: list[list[str]], place: str) -> str:

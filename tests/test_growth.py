@@ -166,3 +166,18 @@ def test_rows_of_tables_against_whole_tables(spark):
             list(t.add(pa.array([[str(k), "x", "y" * (k % 50)]] * 10)))
             held.append(len(t.held))
     assert max(held) <= H.Sizes().rows  # a table was held as a whole
+
+
+def test_text_records_are_shuffled_once(spark):
+    blocks = spark.range(300).select((F.col("id") % 20).alias("document_id"), F.concat(F.lit("b"), F.col("id").cast("string")).alias("block_id"), F.col("id").cast("int").alias("reading_order"), F.concat(F.lit('say "a\\b" \x01\x1f\x7f '), F.repeat(F.lit("word. "), 60)).alias("text"), F.when(F.col("id") % 5 == 0, 1).alias("level"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("sheet"), F.lit(None).cast("int").alias("slide"), F.lit(1).alias("page"))
+    blocks = blocks.withColumn("document_id", F.when(F.col("document_id") != 7, F.col("document_id"))).withColumn("block_id", F.when(F.col("block_id") != "b9", F.col("block_id")))
+    out = H.text_records(blocks)
+    out._jdf.queryExecution().executedPlan().executeCollect()
+    assert _written(out._jdf.queryExecution().executedPlan()) == 300  # records and their texts went through a second exchange to be linked
+    digest = F.sha2(F.to_json(F.struct(F.col("overlap").alias("overlap_text"), F.col("body").alias("text"), F.col("titles").alias("title_path"))), 256)
+    named = F.sha2(F.concat_ws("\0", F.col("document_id").cast("string"), F.lit("text"), F.concat_ws("\0", "block_ids"), F.col("ordinal").cast("string"), "content_hash"), 256)
+    got = sorted(out.withColumn("digest", digest).withColumn("named", named).collect(), key=lambda r: (r.document_id is None, r.document_id or 0, r.ordinal))
+    assert len(got) == 300 and [(r.content_hash, r.record_id) for r in got] == [(r.digest, r.named) for r in got]
+    for a, b in zip([None, *got], [*got, None], strict=True):
+        same = a is not None and b is not None and a.document_id == b.document_id
+        assert (a is None or a.next_record_id == (b.record_id if same else None)) and (b is None or b.previous_record_id == (a.record_id if same else None))
